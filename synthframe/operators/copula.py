@@ -250,7 +250,7 @@ def cluster_quantiles(df: DataFrame, columns: Sequence[str], fitted: dict, clust
     return out.select(*[F.col(f"__q.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def draw_normal(df: DataFrame, m: Marginal, row_id: str, seed: int = 0) -> DataFrame:
+def draw_normal(df: DataFrame, m: Marginal, row_id: str, seed: int = 0, uniform=hash_uniform) -> DataFrame:
     """Independent draws from one fitted normal, one per row id."""
-    z = special.with_norm_ppf(df, {"__z": hash_uniform(F.col(row_id), m.column, seed)})
+    z = special.with_norm_ppf(df, {"__z": uniform(F.col(row_id), m.column, seed)})
     return z.withColumn(m.column, F.lit(m.mean) + F.lit(m.sd) * F.col("__z")).drop("__z")

@@ -122,9 +122,9 @@ def draw_rows(spark: SparkSession, draws: Draws, num_rows: int, seed: int = 0, e
 
 
 def correlated_normals(ids: DataFrame, columns: Sequence[str], mean: np.ndarray, factor: np.ndarray,
-                       row_id: str, seed: int = 0) -> DataFrame:
+                       row_id: str, seed: int = 0, uniform=hash_uniform) -> DataFrame:
     """Mean + factor * v with hashed standard normals v, as Column expressions."""
-    base = special.with_norm_ppf(ids, {f"__v_{c}": hash_uniform(F.col(row_id), f"normal:{c}", seed) for c in columns})
+    base = special.with_norm_ppf(ids, {f"__v_{c}": uniform(F.col(row_id), f"normal:{c}", seed) for c in columns})
     mixed = [sum((F.lit(float(factor[i, j])) * F.col(f"__v_{columns[j]}") for j in range(i + 1)),
                  F.lit(float(mean[i]))).alias(c) for i, c in enumerate(columns)]
     return base.select(*ids.columns, *mixed)
@@ -198,8 +198,8 @@ def tagged(frames: dict[int, DataFrame], tag: str = "size") -> DataFrame:
     return out
 
 
-def component_pick(row_id: Column, weights: Sequence[float], seed: int = 0) -> Column:
+def component_pick(row_id: Column, weights: Sequence[float], seed: int = 0, uniform=hash_uniform) -> Column:
     """Hashed component index by cumulative weight."""
-    u = hash_uniform(row_id, "component", seed)
+    u = uniform(row_id, "component", seed)
     cuts = np.cumsum(np.asarray(weights) / np.sum(weights))[:-1]
     return sum(((u >= F.lit(float(cut))).cast("int") for cut in cuts), F.lit(0))

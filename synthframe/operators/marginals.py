@@ -211,7 +211,7 @@ def ks_distances(df: DataFrame, facts: dict, columns: Sequence[str], families: S
 
 def fit_marginals(df: DataFrame, columns: Sequence[str], cluster: str | None = None,
                   gates: bool = True, truncation_share: float | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
+                  allowed: Sequence[str] = FAMILIES, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
     """Best family per column, or per (cluster, column).
 
     Three passes: moments, tail facts, KS distances.  With `gates` the beta family
@@ -231,8 +231,8 @@ def fit_marginals(df: DataFrame, columns: Sequence[str], cluster: str | None = N
         if f["n"] == 0 or f["lo"] == f["hi"]:
             candidates[key] = [CONSTANT]
             continue
-        families = list(FAMILIES)
-        if gates and (f["lo"] < 0 or (f["skew"] or 0) > 1):
+        families = [name for name in FAMILIES if name in allowed]
+        if gates and "beta" in families and (f["lo"] < 0 or (f["skew"] or 0) > 1):
             families.remove("beta")
         if gates and f["tail"] >= truncation_share:
             families = ["truncnorm"]
