@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,12 +113,14 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], cluster: str) -> float
 
 def davies_bouldin_path(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 0) -> dict[int, float]:
     """K8 for KMeans labels of every k."""
-    def score(k, model, features):
-        from pyspark.ml.functions import vector_to_array
-        arr = vector_to_array(F.col(FEATURES))
-        rows = model.transform(features).select("cluster", *[arr[i].alias(f"x{i}") for i in range(len(columns))])
-        return davies_bouldin(rows, [f"x{i}" for i in range(len(columns))], "cluster")
-    return kmeans_path(df, columns, ks, seed, score)
+    return kmeans_path(df, columns, ks, seed, lambda k, model, features: _model_davies_bouldin(model, features))
+
+
+def _model_davies_bouldin(model: KMeansModel, features: DataFrame) -> float:
+    names = [f"x{i}" for i in range(len(model.clusterCenters()[0]))]
+    arr = vector_to_array(F.col(FEATURES))
+    rows = model.transform(features).select("cluster", *[arr[i].alias(n) for i, n in enumerate(names)])
+    return davies_bouldin(rows, names, "cluster")
 
 
 def gap_statistic(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(1, 11), references: int = 3,
@@ -192,12 +195,17 @@ def compare_cluster_counts(df: DataFrame, columns: Sequence[str], max_clusters:
     def add(name: str, scores: dict[int, float], chosen: int) -> None:
         rows.extend((name, int(k), float(v), k == chosen) for k, v in scores.items())
 
-    k, scores = timed("elbow", lambda: elbow_k(df, columns, ks, seed))
-    add("elbow", scores, k)
-    k, scores = timed("silhouette", lambda: silhouette_k(df, columns, ks, seed))
-    add("silhouette", scores, k)
-    scores = timed("davies_bouldin", lambda: davies_bouldin_path(df, columns, ks, seed))
-    add("davies_bouldin", scores, min(scores, key=scores.get))
+    if timings is None:  # one KMeans per k serves all three scores
+        found = kmeans_path(df, columns, ks, seed, lambda k, m, f: (
+            m.summary.trainingCost, silhouette(m.transform(f)), _model_davies_bouldin(m, f)))
+        costs, widths, ratios = ({k: v[i] for k, v in found.items()} for i in range(3))
+    else:
+        costs = timed("elbow", lambda: elbow_k(df, columns, ks, seed))[1]
+        widths = timed("silhouette", lambda: silhouette_k(df, columns, ks, seed))[1]
+        ratios = timed("davies_bouldin", lambda: davies_bouldin_path(df, columns, ks, seed))
+    add("elbow", costs, _largest_drop(costs))
+    add("silhouette", widths, max(widths, key=lambda k: (widths[k], -k)))
+    add("davies_bouldin", ratios, min(ratios, key=ratios.get))
     scores = timed("gap", lambda: gap_statistic(df, columns, range(1, max_clusters + 1), seed=seed))
     add("gap", scores, max(scores, key=scores.get))
     k, values, _ = timed("eigen_gap", lambda: eigen_gap_k(df, columns))

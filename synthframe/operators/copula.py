@@ -131,15 +131,12 @@ def mixture_bounds(m: Marginal, deviations: float = 3.0) -> tuple[float, float]:
 
 def bound_check(spark: SparkSession, marginals: dict[str, Marginal], probabilities: Sequence[float]) -> DataFrame:
     """Sign of CDF(bound) - p at both bounds for each column and probability."""
-    rows = [(c, float(p), *mixture_bounds(m)) for c, m in marginals.items() for p in probabilities]
-    table = spark.createDataFrame(rows, "column string, p double, lower double, upper double")
-    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    rows = []
     for c, m in marginals.items():
-        low = F.when(F.col("column") == c, mixture_cdf(F.col("lower"), m)).otherwise(low)
-        high = F.when(F.col("column") == c, mixture_cdf(F.col("upper"), m)).otherwise(high)
-    return table.select("column", "p", "lower", "upper",
-                        F.signum(low - F.col("p")).cast("int").alias("sign_lower"),
-                        F.signum(high - F.col("p")).cast("int").alias("sign_upper"))
+        bounds = mixture_bounds(m)
+        low, high = np_mixture_cdf(np.array(bounds), m)
+        rows += [(c, float(p), *bounds, int(np.sign(low - p)), int(np.sign(high - p))) for p in probabilities]
+    return spark.createDataFrame(rows, "column string, p double, lower double, upper double, sign_lower int, sign_upper int")
 
 
 def np_mixture_cdf(x: np.ndarray, m: Marginal) -> np.ndarray:

@@ -155,9 +155,9 @@ def laplacian_gap_k(model: SpectralModel, max_k: int = 10) -> int:
 
 
 def spectral_embedding(df: DataFrame, model: SpectralModel, k: int) -> DataFrame:
-    """Add coordinates e1..ek, the eigenvectors after the trivial one."""
+    """Add coordinates spectral_1..k, the eigenvectors after the trivial one."""
     basis = model.vectors[:, 1:k + 1]
-    names = [f"e{i + 1}" for i in range(basis.shape[1])]
+    names = [f"spectral_{i + 1}" for i in range(basis.shape[1])]
     schema = T.StructType([T.StructField(e, T.DoubleType()) for e in names])
 
     @F.pandas_udf(schema)

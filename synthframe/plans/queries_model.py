@@ -444,13 +444,13 @@ def eigen_gap_k(t):
 
 @query("cluster_count_methods", "K10")
 def cluster_count_methods(t):
-    return clustering.compare_cluster_counts(t.lineitem, MEASURES, max_clusters=4)
+    return clustering.compare_cluster_counts(t.part, ["p_size", "p_retailprice"], max_clusters=5)
 
 
 @query("cluster_count_timings", "K11 I1")
 def cluster_count_timings(t):
     df, names = embedding_columns(t)
-    return clustering.time_cluster_counts({"embeddings": (df, names), "part": (t.part, ["p_size", "p_retailprice"])}, max_clusters=3)
+    return clustering.time_cluster_counts({"two_columns": (df, names[:2]), "all_columns": (df, names)}, max_clusters=2)
 
 
 @query("mixtures_in_clusters", "K17 K18")
@@ -478,9 +478,9 @@ def _centroids(t: Tables) -> tuple[DataFrame, list[str], np.ndarray, list[int]]:
 def landmark_affinity(t):
     df, names, centres, labels = _centroids(t)
     made = spectral.landmark_affinities(df, names, centres)
-    cells = F.arrays_zip(F.array(*[F.lit(g) for g in labels]).alias("centre"), F.col("affinity").alias("weight"))
+    cells = F.array(*[F.struct(F.lit(g).alias("centre"), F.col("affinity")[i].alias("weight")) for i, g in enumerate(labels)])
     return (made.select("vec_id", F.explode(cells).alias("c"))
-            .select("vec_id", F.col("c.0").alias("centre"), F.round("c.weight", 10).alias("weight")))
+            .select("vec_id", "c.centre", F.round("c.weight", 10).alias("weight")))
 
 
 _EDGES = f"""SELECT x.label AS src, y.label AS dst, exp(-5.0 * sum(pow(x.c - y.c, 2))) AS weight
@@ -516,7 +516,7 @@ def spectral_gap_k(t):
 def spectral_embedding(t):
     df, names = embedding_columns(t, "vec_id")
     made = spectral.spectral_embedding(df, spectral.fit_spectral(df, names, 100), 4)
-    return made.select("vec_id", "e1", "e2", "e3", "e4") if "e1" not in names else made.select("vec_id", *made.columns[-4:])
+    return made.select("vec_id", *[f"spectral_{i}" for i in range(1, 5)])
 
 
 @query("spectral_labels", "K16 K12")
