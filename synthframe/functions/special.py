@@ -100,8 +100,20 @@ def with_norm_ppf(df: DataFrame, targets: dict[str, Column], clamp: bool = False
     if clamp:
         step = step.select(*keep, *[clamp_unit(F.col(f"__p_{n}")).alias(f"__p_{n}") for n in names])
     step = step.select("*", *[_tail_variable(F.col(f"__p_{n}")).alias(f"__t_{n}") for n in names])
-    return step.select(*keep, *[_ppf_from(F.col(f"__p_{n}"), F.col(f"__t_{n}")).alias(n)
-                                for n in names])
+    return sealed(step, keep, {n: _ppf_from(F.col(f"__p_{n}"), F.col(f"__t_{n}")) for n in names})
+
+
+def sealed(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
+    """Select `keep` and the `made` columns so that later filters stay above them.
+
+    Pushing a filter through a chain of projections copies the projected expression
+    once per use; polynomials of polynomials then grow without bound.  A filter never
+    passes the generator that makes a column, so the values go through a one-row
+    generator; filters on the kept columns are still pushed down.
+    """
+    if not made:
+        return df.select(*keep)
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def clamp_unit(p: Column, eps: float = CLAMP) -> Column:

@@ -235,7 +235,8 @@ def quantile_table(df: DataFrame, marginals: dict[str, Marginal]) -> DataFrame:
             return F.lit(m.lo) - F.lit(m.mean - m.lo) * F.log1p(-p[c])
         if m.family == "norm":
             return F.lit(m.mean) + F.lit(m.sd) * F.col(f"__z_{c}")
-        return F.least(F.greatest(F.lit(m.mean) + F.lit(m.sd_sample) * F.col(f"__z_{c}"), F.lit(m.lo)), F.lit(m.hi))
+        inside = F.least(F.greatest(F.lit(m.mean) + F.lit(m.sd_sample) * F.col(f"__z_{c}"), F.lit(m.lo)), F.lit(m.hi))
+        return F.when(F.col(f"__z_{c}").isNotNull(), inside)
 
     return out.select(*[value(c).alias(c) for c in df.columns])
 

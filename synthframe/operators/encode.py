@@ -106,7 +106,8 @@ def _decode_small(df: DataFrame, c: str, known: list[tuple[float, str]]) -> Data
 def _decode_large(df: DataFrame, c: str, table: DataFrame, row_id: str | None) -> DataFrame:
     if row_id is None:
         raise ValueError("decoding against a large dictionary needs row_id")
-    x = F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0))
+    x = F.col(c).cast("double")
+    x = F.when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x)
     rows = df.select(*[F.col(k).alias(f"__row_{k}") for k in df.columns],
                      x.alias("__x"), F.lit(1).alias("__kind"),
                      F.col(row_id).cast("string").alias("__tie"), F.lit(None).cast("string").alias("__category"))

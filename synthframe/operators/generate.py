@@ -133,7 +133,8 @@ def correlated_normals(ids: DataFrame, columns: Sequence[str], mean: np.ndarray,
 def _draw_native(ids: DataFrame, draws: Draws, seed: int) -> DataFrame:
     scores = correlated_normals(ids, draws.columns, draws.means[0], draws.factors[0], "row_id", seed)
     p = scores.select(*ids.columns, *[special.norm_cdf(F.col(c)).alias(c) for c in draws.columns])
-    return quantile_table(p, draws.marginals)
+    made = quantile_table(p, draws.marginals)
+    return special.sealed(made, ids.columns, {c: F.col(c) for c in draws.columns})
 
 
 def _draw_arrow(ids: DataFrame, draws: Draws, seed: int) -> DataFrame:

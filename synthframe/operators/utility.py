@@ -6,6 +6,7 @@ import random
 from collections.abc import Sequence
 from itertools import product
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -160,7 +161,11 @@ def evaluate_model(train: DataFrame, test: DataFrame, label: str, task: str = "r
     """Fit on `train`, score on `test`: one metric row."""
     numeric, categories = _inputs(train, label, drop)
     build = forest_search if task == "regression" else boosting_search
-    model = build(numeric, categories, label, **search).fit(train)
+    held = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fold and tree level
+    try:
+        model = build(numeric, categories, label, **search).fit(held)
+    finally:
+        held.unpersist()
     predicted = model.transform(test)
     if task == "regression":
         return regression_metrics(predicted, label, "prediction", len(numeric) + len(categories))
@@ -185,6 +190,7 @@ def augmentation_experiment(real: DataFrame, synthetic: DataFrame, label: str, r
     """U4: per iteration train on real + half as many synthetic rows, test on held-out real rows."""
     train, test = holdout_split(real, row_id, test_share, seed)
     extra = round(real.count() / 2)
+    synthetic = synthetic.persist(StorageLevel.MEMORY_AND_DISK)
     results = []
     for i in range(iterations):
         rows = augment(train, synthetic, extra, row_id, seed + i).drop("origin")
@@ -205,7 +211,11 @@ def synthetic_and_real_test(synthetic: DataFrame, real: DataFrame, label: str, r
     train, test = holdout_split(synthetic, row_id, test_share, seed)
     numeric, categories = _inputs(train, label, (row_id,))
     build = forest_search if task == "regression" else boosting_search
-    model = build(numeric, categories, label, **search).fit(train)
+    held = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = build(numeric, categories, label, **search).fit(held)
+    finally:
+        held.unpersist()
 
     def scores(df: DataFrame, name: str) -> DataFrame:
         predicted = model.transform(df)

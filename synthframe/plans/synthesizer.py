@@ -238,6 +238,9 @@ class Synthesizer:
         finally:
             scores.unpersist()
         mean, cov = model.moments()
+        if not self.use_covariance:  # unit variances keep every marginal as fitted
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            mean, cov = np.zeros(len(columns)), cov / np.outer(sd, sd)
         return generate.Draws(columns, [0], [1.0], mean[None], generate.cholesky_factor(cov)[None], marginals)
 
     def _clustered(self, labelled: DataFrame, columns: list[str], marginals: dict, local: bool = False) -> generate.Draws:
