@@ -28,6 +28,19 @@ def long_form(df: DataFrame, columns: Sequence[str], value_type: str = "double",
     return cast.unpivot(list(keep), list(columns), "column", "value")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small table read from few files one partition per core before iterative work.
+
+    A file of one row group is one task.  Tables larger than one default split per
+    core already have enough tasks and are left alone, so nothing big is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = 0 < len(df.inputFiles()) < cores
+    return df.repartition(cores) if few and size < cores * 128 * 2 ** 20 else df
+
+
 def first_row(df: DataFrame) -> dict:
     """The single row of a global aggregate, as a dictionary."""
     return df.first().asDict()

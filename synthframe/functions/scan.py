@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 512
 SAMPLE_PER_BUCKET = 32
 BUCKET = "__bucket"
@@ -51,10 +51,14 @@ def _bucket_column(df: DataFrame, keys: list[str], splits: list[tuple]) -> DataF
     return df.withColumn(BUCKET, F.size(F.filter(bounds, lambda s: s <= key)))
 
 
-def with_buckets(df: DataFrame, keys: list[str],
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
-    """Add the bucket number; returns the frame and how many buckets there are."""
-    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
+def with_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
+                 at_most: int | None = None) -> tuple[DataFrame, int]:
+    """Add the bucket number; returns the frame and how many buckets there are.
+
+    `at_most` is a known upper bound on the rows; one that fits a bucket saves the count.
+    """
+    rows = at_most if at_most is not None and at_most <= rows_per_bucket else df.count()
+    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     splits = order_splits(df, keys, buckets) if buckets > 1 else []
     if not splits:
         return df.withColumn(BUCKET, F.lit(0)), 1
@@ -62,14 +66,14 @@ def with_buckets(df: DataFrame, keys: list[str],
 
 
 def running_sum(df: DataFrame, keys: list[str], values: str | list[str], groups: tuple[str, ...] = (),
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET, at_most: int | None = None) -> DataFrame:
     """Add `<value>_cum` (inclusive) and `<value>_before` in key order per group.
 
     (groups, keys) must identify a row; aggregate ties first.  `groups` must be few
     (column names, clusters): the carried table holds one row per group and bucket.
     """
     groups, values = list(groups), [values] if isinstance(values, str) else list(values)
-    keyed, buckets = with_buckets(df, groups + keys, rows_per_bucket)
+    keyed, buckets = with_buckets(df, groups + keys, rows_per_bucket, at_most)
     inside = (W.partitionBy(*groups, BUCKET).orderBy(*keys)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     cum = {v: F.sum(v).over(inside) for v in values}

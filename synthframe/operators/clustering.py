@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.functions.frames import long_form
+from synthframe.functions.frames import long_form, spread
 from synthframe.functions.quantiles import exact_quantiles
 from synthframe.functions.rng import hash_uniform
 from synthframe.operators import dependence
@@ -38,7 +38,7 @@ def kmeans_labels(df: DataFrame, columns: Sequence[str], k: int, seed: int = 0)
     features = assemble(df, columns)
     if k <= 1:
         return df.withColumn("cluster", F.lit(0)), np.zeros((1, len(columns)))
-    held = features.persist(StorageLevel.MEMORY_AND_DISK)
+    held = spread(features.select(FEATURES)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = fit_kmeans(held, k, seed)
     finally:
@@ -49,7 +49,7 @@ def kmeans_labels(df: DataFrame, columns: Sequence[str], k: int, seed: int = 0)
 def kmeans_path(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 0,
                 visit: Callable | None = None) -> dict[int, object]:
     """Fit KMeans for several k over one persisted table; returns `visit(k, model, features)`."""
-    features = assemble(df, columns).select(FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    features = spread(assemble(df, columns).select(FEATURES)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         found = {}
         for k in ks:
@@ -262,7 +262,7 @@ def start_from_labels(labelled: DataFrame, columns: Sequence[str], k: int, clust
 def mixtures_from_kmeans(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 0,
                          max_iter: int = 50) -> dict[int, JointMixture]:
     """K3, D3: joint mixtures for several k, each started from its KMeans clusters."""
-    held = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    held = spread(df.select(*[F.col(c).cast("double").alias(c) for c in columns])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         starts = {}
         for k in ks:
@@ -305,7 +305,7 @@ def cluster_mixtures(labelled: DataFrame, columns: Sequence[str], cluster: str =
             owner[key] = g
             starts[key] = JointMixture(columns, np.full(k, 1 / k), mean + offsets[:, None] * axis,
                                        np.stack([cov] * k))
-    held = labelled.select(cluster, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    held = spread(labelled.select(cluster, *columns)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = joint_em(held, starts, max_iter, owner=owner, cluster=cluster)
     finally:

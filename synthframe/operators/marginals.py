@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.functions import special
-from synthframe.functions.frames import long_form
+from synthframe.functions.frames import long_form, spread
 from synthframe.functions.scan import ROWS_PER_BUCKET, running_sum
 
 # The candidate families, in the order that settles ties.
@@ -189,10 +189,12 @@ def ks_distances(df: DataFrame, facts: dict, columns: Sequence[str], families: S
     """
     group = ["cluster", "column"]
     label = F.col(cluster) if cluster else F.lit(0)
-    cells = long_form(df.withColumn("cluster", label.cast("bigint")), columns, keep=("cluster",))
+    narrow = spread(df.select(label.cast("bigint").alias("cluster"), *columns))
+    cells = long_form(narrow, columns, keep=("cluster",))
     counts = (cells.filter(F.col("value").isNotNull()).groupBy(*group, "value")
               .agg(F.count("*").alias("k")))
-    ranked = running_sum(counts, ["value"], "k", groups=tuple(group), rows_per_bucket=rows_per_bucket)
+    known = sum(f["n"] for (_, c), f in facts.items() if c in columns)
+    ranked = running_sum(counts, ["value"], "k", groups=tuple(group), rows_per_bucket=rows_per_bucket, at_most=known)
     rows = [(g or 0, c, f["n"], *[float(getattr(_normal(c, f), k)) for k in PARAMETERS])
             for (g, c), f in facts.items() if c in columns and f["n"]]
     table = df.sparkSession.createDataFrame(

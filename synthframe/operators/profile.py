@@ -66,6 +66,8 @@ def profile_columns(df: DataFrame, order_by: str | None = None, exact_distinct:
     if not df.columns:
         return []
     aggregates = [F.count(F.lit(1)).alias("n")]
+    dated = df.select("*", *[day_number(F.col(f"`{f.name}`"), f.dataType).alias(f"__days_{i}")  # parse once per row
+                             for i, f in enumerate(df.schema) if isinstance(f.dataType, (*_TIME_TYPES, T.StringType))])
     for i, f in enumerate(df.schema):
         c = F.col(f"`{f.name}`")
         aggregates += [F.count(c).alias(f"{i}_filled"),
@@ -74,7 +76,7 @@ def profile_columns(df: DataFrame, order_by: str | None = None, exact_distinct:
             aggregates += [F.min(c).cast("double").alias(f"{i}_min"),
                            F.max(c).cast("double").alias(f"{i}_max")]
         elif isinstance(f.dataType, (*_TIME_TYPES, T.StringType)):
-            days = day_number(c, f.dataType)
+            days = F.col(f"__days_{i}")
             aggregates += [F.min(days).alias(f"{i}_min"), F.max(days).alias(f"{i}_max"),
                            F.count(days).alias(f"{i}_dates")]
         if isinstance(f.dataType, T.StringType):
@@ -82,7 +84,7 @@ def profile_columns(df: DataFrame, order_by: str | None = None, exact_distinct:
             aggregates += [F.bool_and(c.rlike(PREFIX_PATTERN)).alias(f"{i}_prefixed"),
                            F.bool_and(c.rlike(HYPHEN_PATTERN)).alias(f"{i}_hyphen"),
                            F.min_by(c, F.when(c.isNotNull(), order)).alias(f"{i}_first")]
-    facts = first_row(df.agg(*aggregates))
+    facts = first_row(dated.agg(*aggregates))
     n = facts["n"]
     names = df.columns
     exact = [c for i, c in enumerate(names)

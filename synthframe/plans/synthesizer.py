@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthframe.functions.frames import BROADCAST_ROWS
+from synthframe.functions.frames import BROADCAST_ROWS, spread
 from synthframe.operators import clustering, copula, dependence, encode, generate, missing, project
 from synthframe.operators import profile as prof
 from synthframe.operators.marginals import Marginal, fit_marginals
@@ -192,7 +192,7 @@ class Synthesizer:
             columns = [c for c in table.columns if c != ROW]
             if not columns:
                 raise ValueError("no numeric, category or date column to model")
-            table = table.persist(StorageLevel.MEMORY_AND_DISK)
+            table = spread(table).persist(StorageLevel.MEMORY_AND_DISK)
             ranges = prof.column_ranges(table, columns)
         try:
             with timer.stage("structure", FITTING):
