@@ -89,7 +89,7 @@ def cluster_cdf(df: DataFrame, columns: Sequence[str], fitted: dict, cluster: st
     """
     labels = sorted({g for g, _ in fitted})
     rows = [(g, *[v for c in columns for v in (fitted[g, c].family,
-             *[float(getattr(fitted[g, c], p)) for p in PARAMETERS])]) for g in labels]
+             *[float(getattr(fitted[g, c], p)) or (1.0 if p.startswith("sd") else 0.0) for p in PARAMETERS])]) for g in labels]
     label_type = df.schema[cluster].dataType.simpleString()
     schema = f"`{cluster}` {label_type}" + "".join(
         f", __family_{i} string" + "".join(f", __{p}_{i} double" for p in PARAMETERS)

@@ -99,11 +99,12 @@ def _moments_from_gram(df: DataFrame, columns: Sequence[str], cluster: str | Non
 
 
 def as_matrix(rows, columns: Sequence[str]) -> np.ndarray:
-    """Collected long rows of one cluster -> d x d array in column order; null -> 0."""
+    """Collected long rows of one cluster -> d x d array in column order; undefined -> 0."""
     at = {c: i for i, c in enumerate(columns)}
     out = np.zeros((len(columns), len(columns)))
     for r in rows:
-        out[at[r["col_i"]], at[r["col_j"]]] = 0.0 if r["value"] is None else r["value"]
+        value = r["value"]
+        out[at[r["col_i"]], at[r["col_j"]]] = 0.0 if value is None or np.isnan(value) else value
     return out
 
 

@@ -176,8 +176,9 @@ PARAMETERS = ("mean", "sd", "sd_sample", "lo", "hi", "cdf_lo", "cdf_hi", "a", "b
 
 
 def _normal(column: str, f: dict) -> Marginal:
-    return Marginal(column, "norm", f["lo"] or 0.0, f["hi"] or 0.0, f["mean"] or 0.0, f["sd"] or 0.0,
-                    f["sd_sample"] or 0.0, f.get("a") or 1.0, f.get("b") or 1.0, n=f["n"])
+    """Parameters of one column; a zero deviation becomes 1, as its distance is never used."""
+    return Marginal(column, "norm", f["lo"] or 0.0, f["hi"] or 0.0, f["mean"] or 0.0, f["sd"] or 1.0,
+                    f["sd_sample"] or 1.0, f.get("a") or 1.0, f.get("b") or 1.0, n=f["n"])
 
 
 def ks_distances(df: DataFrame, facts: dict, columns: Sequence[str], families: Sequence[str],

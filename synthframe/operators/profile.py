@@ -165,7 +165,7 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("__n"),
                     *[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in columns])
     return (counts.unpivot(["__n"], columns, "column", "n_null")
-            .select("column", "n_null", (F.col("n_null") / F.col("__n")).alias("null_share")))
+            .select("column", "n_null", F.try_divide("n_null", "__n").alias("null_share")))
 
 
 def dtype_groups(df: DataFrame) -> DataFrame:

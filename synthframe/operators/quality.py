@@ -82,14 +82,14 @@ def ks_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str],
     counts = both_sources(real, synthetic, columns, "double").filter(F.col("value").isNotNull())
     totals = counts.groupBy("column").agg(F.sum("real").alias("n_real"), F.sum("synthetic").alias("n_syn"))
     ranked = running_sum(counts, ["value"], ["real", "synthetic"], groups=("column",), rows_per_bucket=rows_per_bucket)
-    gap = F.abs(F.col("real_cum") / F.col("n_real") - F.col("synthetic_cum") / F.col("n_syn"))
+    gap = F.abs(F.try_divide("real_cum", "n_real") - F.try_divide("synthetic_cum", "n_syn"))
     return (ranked.join(F.broadcast(totals), "column")  # one row per column name
             .groupBy("column").agg((1 - F.max(gap)).alias("score")))
 
 
 def _total_variation(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("real").alias("n_real"), F.sum("synthetic").alias("n_syn"))
-    gap = F.abs(F.col("real") / F.col("n_real") - F.col("synthetic") / F.col("n_syn"))
+    gap = F.abs(F.try_divide("real", "n_real") - F.try_divide("synthetic", "n_syn"))
     return (counts.join(F.broadcast(totals), list(keys))  # one row per column or pair
             .groupBy(*keys).agg((1 - F.sum(gap) / 2).alias("score")))
 

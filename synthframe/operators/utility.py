@@ -50,7 +50,7 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, predictors: i
     y, e = F.col(label).cast("double"), F.col(prediction).cast("double") - F.col(label).cast("double")
     sums = df.agg(F.count(y).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
                   F.var_pop(y).alias("__var"), F.avg(F.when(y != 0, F.abs(e / y))).alias("__ape"))
-    r2 = 1 - F.col("mse") / F.col("__var")
+    r2 = 1 - F.try_divide(F.col("mse"), F.col("__var"))
     out = ["n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"), (F.col("__ape") * 100).alias("mape")]
     if predictors is not None:
         out.append((1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - predictors - 1)).alias("adjusted_r2"))
@@ -94,14 +94,15 @@ def class_auc(df: DataFrame, label: str, scores: dict, rows_per_bucket: int = RO
     ranked = running_sum(counts, ["score"], "neg", groups=("class",), rows_per_bucket=rows_per_bucket)
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.groupBy("class").agg(F.sum("pos").alias("positives"),
-                                       (won / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+                                       F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def gini_score(df: DataFrame, label: str, scores: dict) -> DataFrame:
     """(auc, gini = 2 auc - 1); classes weighted by their share, one class for a binary label."""
     if len(scores) == 2:
         scores = dict([max(scores.items(), key=lambda item: str(item[0]))])
-    weighted = class_auc(df, label, scores).agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("auc"))
+    known = class_auc(df, label, scores).filter(F.col("auc").isNotNull())  # a class needs both sides
+    weighted = known.agg(F.try_divide(F.sum(F.col("auc") * F.col("positives")), F.sum("positives")).alias("auc"))
     return weighted.select("auc", (2 * F.col("auc") - 1).alias("gini"))
 
 

@@ -491,11 +491,11 @@ _EDGES = f"""SELECT x.label AS src, y.label AS dst, exp(-5.0 * sum(pow(x.c - y.c
 SELECT src, dst, round(-weight, 10) AS value FROM e UNION ALL SELECT src, src, round(sum(weight), 10) FROM e GROUP BY src""")
 def graph_laplacian(t):
     """Laplacian of the class-centroid graph."""
-    df, names, _, _ = _centroids(t)
-    packed = df.groupBy("label").agg(F.array(*[F.avg(c) for c in names]).alias("v"))
-    a, b = packed.select(F.col("label").alias("src"), F.col("v").alias("x")), packed.select(F.col("label").alias("dst"), F.col("v").alias("y"))
-    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    edges = a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", F.exp(-5.0 * distance).alias("weight"))
+    df, names, centres, labels = _centroids(t)
+    table = df.groupBy(F.col("label").alias("src")).agg(*[F.avg(c).alias(c) for c in names])
+    made = spectral.landmark_affinities(table, names, centres)
+    cells = F.array(*[F.struct(F.lit(g).alias("dst"), F.col("affinity")[i].alias("weight")) for i, g in enumerate(labels)])
+    edges = made.select("src", F.explode(cells).alias("c")).select("src", "c.*")
     return spectral.laplacian_edges(edges).withColumn("value", F.round("value", 10))
 
 

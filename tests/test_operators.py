@@ -212,3 +212,22 @@ def test_clip_keeps_null_and_restores_types(spark):
     df = spark.createDataFrame([(1, 0.4), (2, None), (3, 99.6)], "id int, v double")
     got = project.restore_types(project.clip(df, {"v": (1.0, 50.5)}), {"v": "int"}).orderBy("id")
     assert [r.v for r in got.collect()] == [1, None, 50] and dict(got.dtypes)["v"] == "int"
+
+
+def test_a_cluster_with_a_constant_column(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("cluster"),
+                                 F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise(F.col("id") * 1.0).alias("v"))
+    fitted = marginals.fit_marginals(df, ["v"], cluster="cluster")
+    assert fitted[0, "v"].family == "constant" and fitted[1, "v"].family != "constant"
+    scores = copula.cluster_scores(df, ["v"], fitted, "cluster")
+    assert scores.filter("cluster = 0 and v = 0").count() == 150 and scores.filter("v is null").count() == 0
+    back = copula.cluster_quantiles(copula.cluster_cdf(df, ["v"], fitted, "cluster"), ["v"], fitted, "cluster")
+    assert back.filter("cluster = 0 and v = 7").count() == 150
+
+
+def test_auc_of_a_missing_class_and_empty_scores(spark):
+    df = spark.createDataFrame([("a", 0.2, 0.8), ("b", 0.6, 0.4)], "y string, s double, t double")
+    rows = {r["class"]: r.auc for r in utility.class_auc(df, "y", {"a": "t", "z": "s"}).collect()}
+    assert rows == {"a": 1.0, "z": None}
+    gone = df.withColumn("s", F.lit(None).cast("double"))
+    assert quality.ks_complement(df, gone, ["s"]).first()["score"] is None
