@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 
 from synthframe.functions import special
 from synthframe.functions.rng import hash_uniform, md5_number
+from synthframe.functions.sampling import smallest_by_hash
 from synthframe.functions.scan import running_sum
 from synthframe.operators.copula import NATIVE_QUANTILES, np_quantile, quantile_table
 from synthframe.operators.encode import id_table
@@ -185,7 +186,7 @@ def hybrid(real: DataFrame, synthetic: DataFrame, order_by: str, columns: Sequen
     """Half resampled real rows, half synthetic rows, tagged by `source`."""
     half = num_rows // 2
     left = resample(real.select(order_by, *[c for c in columns if c != order_by]), half, order_by, seed)
-    right = synthetic.orderBy(md5_number(F.col("row_id"), "hybrid", seed), "row_id").limit(num_rows - half)
+    right = smallest_by_hash(synthetic, num_rows - half, md5_number(F.col("row_id"), "hybrid", seed), "row_id")
     return (left.select(*columns, F.lit("real").alias("source"))
             .unionByName(right.select(*columns, F.lit("synthetic").alias("source"))))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from synthframe.functions.frames import string_columns
 from synthframe.functions.quantiles import exact_quantiles
 from synthframe.functions.rng import md5_number
+from synthframe.functions.sampling import smallest_by_hash
 from synthframe.functions.scan import ROWS_PER_BUCKET, running_sum
 from synthframe.operators.quality import holdout_split
 
@@ -29,7 +30,7 @@ train_test_split = holdout_split  # U1: (train, test)
 
 def sample_rows(df: DataFrame, n: int, row_id: str, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement, those with the smallest hashes."""
-    return df.orderBy(md5_number(F.col(row_id), "sample", seed), row_id).limit(n)
+    return smallest_by_hash(df, n, md5_number(F.col(row_id), "sample", seed), row_id)
 
 
 def augment(train: DataFrame, synthetic: DataFrame, n: int, row_id: str, seed: int = 0) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from synthframe.functions import special
 from synthframe.functions.frames import lookup_join
 from synthframe.functions.quantiles import exact_quantiles
-from synthframe.functions.rng import hash_uniform, md5_uniform
+from synthframe.functions.rng import hash_uniform, md5_number, md5_uniform
+from synthframe.functions.sampling import smallest_by_hash
 from synthframe.functions.scan import ordered_fill, running_sum
 from synthframe.operators.marginals import fit_beta
 
@@ -108,3 +109,11 @@ def test_lookup_join_gives_the_same_rows_both_ways(spark):
     large = lookup_join(df, table, "c", "n", broadcast_rows=5, hot_keys=2).toPandas().sort_values("id").reset_index(drop=True)
     pd.testing.assert_frame_equal(small[["id", "c", "top"]], large[["id", "c", "top"]])
     assert len(small) == 600
+
+
+@pytest.mark.parametrize("n", [0, 1, 777, 2000, 5000])
+def test_large_samples_take_the_rows_of_the_sorted_limit(spark, n):
+    df = spark.range(2000)
+    rank = md5_number(F.col("id"), "s", 1)
+    want = {r.id for r in df.orderBy(rank, "id").limit(n).collect()}
+    assert {r.id for r in smallest_by_hash(df, n, rank, "id", direct_rows=0 if n else 1).collect()} == want
