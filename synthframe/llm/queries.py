@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from synthframe.llm import language, packing, quality_model, quality_rules
+from synthframe.llm import language, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,11 +24,25 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, folder, "documents"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.deduplicate(table(spark, folder, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return quality_model.score(documents, quality_model.fit(documents, table(spark, folder, "labels")))
@@ -37,7 +51,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
