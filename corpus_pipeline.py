@@ -7,18 +7,44 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthframe.llm import language
+from synthframe.llm import decontaminate, language, line_dedup, near_dedup, packing
 from synthframe.llm.common import shared_folder
+from synthframe.llm.queries import VOCABULARY
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects: no text, no letters."""
-    found = language.identify(docs, keep=tuple(docs.columns))
-    return found.filter(found["lang_pred"] != language.UNKNOWN).select(*docs.columns)
+    return language.drop_rejected(docs)
+
+
+def delete_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of line runs; a document that loses all its lines goes."""
+    found = line_dedup.delete_copies(docs).filter("`line counts`.n_removed < `line counts`.n_lines")
+    length = F.length("text").cast("long")
+    return found.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents with their places in sequences."""
+    return packing.pack_documents(docs, VOCABULARY)
 
 
 STAGES = [
     ("language_id", keep_languages),
+    ("line_dedup", delete_line_copies),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack),
 ]
 
 #: Learned models and tokenizers are not expressible in SQL; the stages are tested against brute force.

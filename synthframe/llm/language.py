@@ -167,3 +167,16 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, keep: tuple[st
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[f for f in fields if f != "doc_id"])
     out = rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
     return out.withColumn("held_out", held_out())
+
+
+def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language; null and letterless texts go."""
+    texts(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+    def clean(batches):
+        known = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([known.predict(t or "")[0] != UNKNOWN for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

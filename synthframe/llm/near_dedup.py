@@ -69,41 +69,31 @@ def node_of(hashes: np.ndarray) -> bytes | None:
     return hashlib.sha256(hashes.tobytes()).digest()[:16] if len(hashes) else None
 
 
-def nodes_of_rows(docs: DataFrame, size: int, keep: bool = False) -> DataFrame:
-    """(doc_id, node, n) of every row, the node null without words; or all its columns and `near node`, a name of its own."""
-    texts(docs)
-    fields = docs.schema.fields if keep else []
-    rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def text_key(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
 
-    def run(batches):
-        for batch in batches:
-            found = [shingles(t or "", size) for t in batch["text"].to_pylist()]
-            nodes = pa.array([node_of(x) for x in found], pa.binary())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "near node"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], nodes, pa.array([len(x) for x in found], pa.int64())], ["doc_id", "node", "n"])
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return rows.mapInArrow(run, f"{kept}`near node` binary" if keep else "doc_id bigint, node binary, n bigint")
 
+def sketched(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, node, n, text_key, bands, bits) of every row.
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, bands, bits), one row per distinct set of shingles."""
+    The node is null without words; bands and bits are given once for each node of a
+    batch.
+    """
     def run(batches):
         for batch in batches:
-            rows = {}
+            rows, seen = [], set()
             for text in batch["text"].to_pylist():
                 found = shingles(text, size)
                 node = node_of(found)
-                if node is not None and node not in rows:
-                    rows[node] = (len(found), *signature(found))
-            n, bands, bits = zip(*rows.values(), strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["node", "n", "bands", "bits"])
+                new = node is not None and node not in seen
+                seen.add(node)
+                rows.append((node, len(found), text_key(text) if new else None, *(signature(found) if new else (None, None))))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                                             ["doc_id", "node", "n", "text_key", "bands", "bits"])
 
-    return texts(docs).select("text").mapInArrow(run, "node binary, n bigint, bands array<bigint>, bits array<bigint>").dropDuplicates(["node"])
+    return texts(docs).mapInArrow(run, "doc_id bigint, node binary, n bigint, text_key binary, bands array<bigint>, bits array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -127,10 +117,11 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return both.filter(sizes & (estimate("bits_a", "bits_b") >= percent / 100 - SLACK)).select("a", "b")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union; texts travel compressed."""
     pairs = stash(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = signed.select("node", "text_key").join(ends, "node", "left_semi")
     if pairs.count() <= BROADCAST_KEYS:  # at most two keys a pair; larger sets are joined by shuffle
         wanted = F.broadcast(wanted)
 
@@ -138,15 +129,14 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
         for batch in batches:
             rows = {}
             for text in batch["text"].to_pylist():
-                node = node_of(shingles(text, size))
-                if node is not None and node not in rows:
-                    body = text.encode("utf-8", "surrogatepass")
-                    rows[node] = (len(body), pa.compress(body, codec="zstd", asbytes=True))
-            length, body = zip(*rows.values(), strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(length, pa.int64()), pa.array(body, pa.binary())], ["node", "size", "body"])
-
-    bodies = texts(docs).select("text").mapInArrow(run, "node binary, size bigint, body binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    bodies = stash(bodies, "near-texts")
+                rows.setdefault(text_key(text), text)
+            bodies = [text.encode("utf-8", "surrogatepass") for text in rows.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(rows), pa.binary()), pa.array([len(x) for x in bodies], pa.int64()),
+                 pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in bodies], pa.binary())], ["text_key", "size", "body"])
+
+    bodies = texts(docs).select("text").mapInArrow(run, "text_key binary, size bigint, body binary").join(wanted, "text_key").dropDuplicates(["node"])
+    bodies = stash(bodies.select("node", "size", "body"), "near-texts")
     left = bodies.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("body").alias("body_b"))
 
@@ -185,14 +175,14 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def link_nodes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) for all nodes that have a link to another."""
-    signed = stash(signatures(docs, size), "near-signatures")
+def link_nodes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) for all nodes that have a link to another; `rows` is the written result of `sketched`."""
+    signed = stash(rows.filter("bands IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "near-signatures")
     buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top").select("bucket", "pivot")
     crowded = stash(buckets.join(shared, "bucket"), "near-buckets")
     stars = crowded.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(docs, plausible(stars, signed, percent), size, percent)
+    links = confirmed(docs, plausible(stars, signed, percent), signed, size, percent)
     roots = components(links)
 
     placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -205,7 +195,7 @@ def link_nodes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     right = placed.select("bucket", F.col("root").alias("root_b"), F.col("node").alias("b"))
     apart = crossing.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"])
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(docs, plausible(apart, signed, percent), size, percent)
+    more = confirmed(docs, plausible(apart, signed, percent), signed, size, percent)
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
@@ -219,8 +209,8 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     the component has no other.  An empty table gives no rows, and no column but
     doc_id and text is read.
     """
-    rows = stash(nodes_of_rows(docs, size), "near-rows")
-    return grouped(rows, link_nodes(docs, size, percent))
+    rows = stash(sketched(docs, size), "near-rows")
+    return grouped(rows.select("doc_id", "node", "n"), link_nodes(docs, rows, size, percent))
 
 
 def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -238,6 +228,13 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     dropped = stash(found.filter("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("node").alias("dropped_node")).distinct(), "near-dropped")
     if dropped.count() <= BROADCAST_KEYS:
         dropped = F.broadcast(dropped)
-    rows = nodes_of_rows(docs, size, keep=True)
+
+    def with_node(batches):
+        for batch in batches:
+            nodes = pa.array([node_of(shingles(t or "", size)) for t in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "near node"])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
+    rows = docs.mapInArrow(with_node, f"{kept}`near node` binary")
     same = rows["doc_id"].eqNullSafe(dropped["dropped_id"]) & (rows["near node"] == dropped["dropped_node"])
     return rows.join(dropped, same, "left_anti").select(*docs.columns)

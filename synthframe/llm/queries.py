@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from synthframe.llm import language, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup
+from synthframe.llm import decontaminate, language, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,10 +21,20 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.delete_copies(table(spark, folder, "documents"))
+    counts = [F.col(f"line counts.{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs")]
+    return found.select("doc_id", *counts, F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -43,6 +54,10 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return quality_model.score(documents, quality_model.fit(documents, table(spark, folder, "labels")))
@@ -50,14 +65,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.oracle(),
     "op6_quality_rules": quality_rules.oracle(),
 }
