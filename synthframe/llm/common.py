@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from synthframe.session import ship_package
 
+#: Tables of keys are broadcast up to so many rows; larger ones are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Word separators are exactly these six bytes; `bytes.split()` uses the same set.
 SPACE = r"[\x20\x09-\x0D]+"
 

@@ -5,8 +5,8 @@ five find candidates, and the low four bits of each minimum, packed into ten num
 estimate the similarity by bit counts, corrected for chance collisions.  Estimates
 only discard; every link is confirmed on the full sets.
 
-No bucket is paired out.  First every node is tested against its bucket's smallest
-node, and confirmed links join nodes into components.  Then only nodes that share a
+No bucket is paired out.  First every node is tested against one node of each of its
+buckets, drawn by a hash that differs from bucket to bucket, and confirmed links join nodes into components.  Then only nodes that share a
 bucket but not a component are tested with each other, for a link inside a component
 changes nothing.  So a group of copies of any size costs one pair for each member,
 and no link between different components is skipped.
@@ -22,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.llm import repeats
-from synthframe.llm.common import stash, texts
+from synthframe.llm.common import BROADCAST_KEYS, stash, texts
 from synthframe.llm.substring_dedup import _words
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 BITS, PER_LONG = 4, 16
 SLACK = 0.2  # six standard deviations of the estimate from 160 minima
-BROADCAST_KEYS = 1_000_000
 _FACTOR = repeats.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SHIFT = repeats.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -178,22 +177,26 @@ def components(links: DataFrame) -> DataFrame:
 def link_nodes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) for all nodes that have a link to another; `rows` is the written result of `sketched`."""
     signed = stash(rows.filter("bands IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "near-signatures")
-    buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top").select("bucket", "pivot")
+    buckets = signed.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+    drawn = F.struct(F.xxhash64("node", "bucket").alias("draw"), "node")  # another pivot in each bucket
+    shared = buckets.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max("node").alias("top"), F.min("node").alias("bottom"))
+    shared = shared.filter("top <> bottom").select("bucket", F.col("low.node").alias("pivot"))
     crowded = stash(buckets.join(shared, "bucket"), "near-buckets")
-    stars = crowded.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = crowded.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = confirmed(docs, plausible(stars, signed, percent), signed, size, percent)
     roots = components(links)
 
-    placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    present = placed.select("bucket", "root").distinct()
-    mixed = present.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    placed = crowded.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    present = placed.groupBy("bucket", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    mixed = present.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("bucket")
     present = present.join(mixed, "bucket")
-    crossing = present.alias("x").join(present.alias("y"), "bucket").filter("x.root < y.root").select(
+    crossing = present.alias("x").join(present.alias("y"), "bucket").filter(
+        f"x.root < y.root AND 100 * x.high >= {percent} * y.low AND 100 * y.high >= {percent} * x.low").select(
         "bucket", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
-    left = placed.select("bucket", F.col("root").alias("root_a"), F.col("node").alias("a"))
-    right = placed.select("bucket", F.col("root").alias("root_b"), F.col("node").alias("b"))
+    left = placed.select("bucket", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("n").alias("size_a"))
+    right = placed.select("bucket", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("n").alias("size_b"))
     apart = crossing.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"])
+    apart = apart.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = confirmed(docs, plausible(apart, signed, percent), signed, size, percent)
     return components(links.unionByName(more)) if more.limit(1).count() else roots

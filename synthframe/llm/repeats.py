@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import texts
+from synthframe.llm.common import BROADCAST_KEYS, stash, texts
 
 ASKED = "key bigint, chk int, d bigint, e int, at bigint, extra binary, known binary"
 MARKED = "d bigint, e int, at binary"
@@ -87,6 +87,7 @@ def questions(keys: list[np.ndarray], checks: list[np.ndarray], owners: list[tup
     first = order[new]
     run = np.cumsum(new) - 1
     twice = np.bincount(run, minlength=len(first))[run] > 1 if len(run) else np.zeros(0, bool)
+    first = np.sort(first)  # by text again, so that a text's rows lie together and compress
     known = order[twice]
     known = known[np.argsort(owner[known], kind="stable")]
     cuts = np.flatnonzero(np.diff(owner[known], prepend=-1)) if len(known) else np.zeros(0, int)
@@ -169,7 +170,9 @@ def with_text(docs: DataFrame, content: Callable[[str], bytes], marked: DataFram
                                           pa.array([len(f[2]) for f in found], pa.int64()), pa.array(bodies, pa.binary())], ["d", "e", "size", "body"])
 
     bodies = produce(docs, content, build, "d bigint, e int, size bigint, body binary")
-    per_text = marked.groupBy("d", "e").agg(F.collect_list("at").alias("at"))  # at most a text's own positions
+    per_text = stash(marked.groupBy("d", "e").agg(F.collect_list("at").alias("at")), "marked-places")  # at most a text's own positions
+    if per_text.count() <= BROADCAST_KEYS:
+        bodies = bodies.join(F.broadcast(per_text.select("d", "e")), ["d", "e"], "left_semi")  # other texts need not travel
     return bodies.join(per_text, ["d", "e"])
 
 

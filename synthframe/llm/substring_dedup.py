@@ -140,7 +140,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window must be longer than the period of the cover, {PERIOD}")
     rows = stash(repeats.digests(docs, content, count), "substring-texts")
     anchored = repeats.with_text(docs, content, repeats.answers(anchors(docs, window)))
-    repeated = stash(repeats.answers(windows(anchored, window)), "substring-windows")
+    repeated = repeats.answers(windows(anchored, window))
     single = rows.groupBy("d", "e").count().filter("count = 1").select("d", "e")
     spans = _remove(repeats.with_text(docs, content, repeated.join(single, ["d", "e"], "left_semi")), window)
     return repeats.finish(rows, spans, window).withColumnRenamed("n", "n_words")

@@ -248,7 +248,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -
     for batch in range(batches):
         found = family.add(suffix_array(docs, window, batch, batches), last=batch == batches - 1)
         matched = found if matched is None else matched.unionByName(found)
-    repeated = stash(repeated_windows(groups(repeats.with_text(docs, content, matched), window)), "suffix-windows")
+    repeated = repeated_windows(groups(repeats.with_text(docs, content, matched), window))
     single = rows.groupBy("d", "e").count().filter("count = 1").select("d", "e")
     spans = _remove(repeats.with_text(docs, content, repeated.join(single, ["d", "e"], "left_semi")), window)
     return repeats.finish(rows, spans, window).withColumnRenamed("n", "n_bytes")
