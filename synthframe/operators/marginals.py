@@ -263,28 +263,23 @@ def scott_bandwidth(n: int, sd: float) -> float:
     return sd * n ** (-1 / 5)
 
 
-def kernel_density(df: DataFrame, column: str, points: int = 101, bins: int = 1024,
-                   bandwidth: float | None = None) -> DataFrame:
-    """Gaussian kernel density on an even grid over the range, (x, density).
+def kernel_density(df: DataFrame, column: str, points: int = 101, bandwidth: float | None = None) -> DataFrame:
+    """Gaussian kernel density on an even grid over the range, (i, x, density).
 
-    Rows are reduced to at most `bins` weighted bin means first, so the grid is
-    evaluated against a bounded table; the weights ride along as one array column.
+    Exact: each distinct value, weighted by its count, meets the fixed grid, and the
+    terms are summed by grid point before they are shuffled.  Null and NaN are left
+    out; a constant column takes bandwidth 1 unless one is given; without values the
+    result is empty.
     """
-    x = F.col(column).cast("double")
-    row = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"),
-                 F.max(x).alias("hi")).first()
-    h = bandwidth or scott_bandwidth(row["n"], row["sd"])
-    cells = (df.filter(x.isNotNull())
-             .groupBy(F.least(F.floor((x - row["lo"]) / (row["hi"] - row["lo"]) * bins), F.lit(bins - 1)).alias("bin"))
-             .agg(F.count("*").alias("w"), F.avg(x).alias("m")))
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("cells"))  # <= bins entries
-    step = (row["hi"] - row["lo"]) / (points - 1)
-    grid = packed.select("cells", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    at = F.lit(row["lo"]) + F.col("i") * step
-
-    def add(total: Column, cell: Column) -> Column:
-        z = (at - cell["m"]) / h
-        return total + cell["w"] * F.exp(-0.5 * z * z)
-
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    values = df.select(x.alias("m")).filter("m IS NOT NULL")
+    row = values.agg(F.count("m").alias("n"), F.stddev_samp("m").alias("sd"), F.min("m").alias("lo"), F.max("m").alias("hi")).first()
+    lo, hi = (0.0, 0.0) if row["lo"] is None else (row["lo"], row["hi"])
+    h = bandwidth or (scott_bandwidth(row["n"], row["sd"]) if row["sd"] else 1.0)
+    counted = values.groupBy("m").agg(F.count("*").alias("w"))
+    met = counted.select("m", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    at = F.lit(lo) + F.col("i") * F.lit((hi - lo) / (points - 1))
+    z = (at - F.col("m")) / F.lit(h)
     norm = row["n"] * h * math.sqrt(2 * math.pi)
-    return grid.select("i", at.alias("x"), (F.aggregate("cells", F.lit(0.0), add) / norm).alias("density"))
+    summed = met.groupBy("i").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("total"))
+    return summed.select("i", at.alias("x"), (F.col("total") / F.lit(norm or 1.0)).alias("density"))

@@ -124,7 +124,7 @@ def family_by_cluster(t):
 
 
 @query("kernel_density", "D10", """WITH f AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
-b AS (SELECT least(floor((value - lo) / (hi - lo) * 1024), 1023) AS bin, count(*) AS w, avg(value) AS m FROM events, f GROUP BY 1),
+b AS (SELECT value AS m, count(*) AS w FROM events WHERE value IS NOT NULL GROUP BY 1),
 g AS (SELECT i, lo + i * (hi - lo) / 100 AS x, sd * pow(n, -0.2) AS h, n FROM f, (SELECT unnest(range(101)) AS i))
 SELECT cast(i as int) AS i, round(x, 6) AS x, round(sum(w * exp(-0.5 * pow((x - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
 FROM g, b GROUP BY i, x""")

@@ -51,6 +51,7 @@ class FittedModel:
     intervals: DataFrame
     date_formats: dict[str, str] = field(default_factory=dict)
     timer: StageTimer = field(default_factory=StageTimer)
+    absent: list[str] = field(default_factory=list)  # columns without any value; null in every drawn row
 
     def _role(self, *roles: str) -> list[prof.ColumnProfile]:
         return [p for p in self.profiles if p.role in roles]
@@ -58,7 +59,7 @@ class FittedModel:
     def sample(self, spark: SparkSession, num_rows: int, seed: int | None = None, keep_row_id: bool = False) -> DataFrame:
         """`num_rows` rows with the columns and types of the real table.
 
-        Lazy: no action runs here.  Row i is the same on every run and cluster.
+        Drawing is lazy; only category dictionaries are read here.  Row i is the same on every run and cluster.
         """
         tune(spark)
         seed = self.seed if seed is None else seed
@@ -83,8 +84,12 @@ class FittedModel:
         for p in self._role(prof.TEXT_ID):
             made[p.column] = F.sha2(F.concat_ws(":", F.lit(p.column), row.cast("string"), F.lit(str(seed))), 224)
         numbers = {p.column: p.dtype for p in self._role(prof.NUMERIC)}
-        out = out.select("row_id", *[made.get(c, F.col(c)).alias(c) for c in self.columns])
+        out = out.select("row_id", *[F.lit(None).alias(c) if c in self.absent else made.get(c, F.col(c)).alias(c) for c in self.columns])
         out = project.restore_types(out, numbers)
+        typed = {p.column: p.dtype for p in self._role(prof.CATEGORY) if p.dtype != "string"}
+        absent = {c: self.dtypes[c] for c in self.absent}
+        out = out.select("row_id", *[F.lit(None).cast(absent[c]).alias(c) if c in absent else F.col(c).cast(typed[c]).alias(c) if c in typed else F.col(c)
+                                     for c in self.columns])
         out = missing.reapply_missing(out, self.missing, "row_id", seed)
         return out if keep_row_id else out.drop("row_id")
 
@@ -102,7 +107,7 @@ class FittedModel:
         marginals = None if d.marginals is None else [
             [list(k) if isinstance(k, tuple) else k, asdict(m)] for k, m in d.marginals.items()]
         body = {"preset": self.preset, "seed": self.seed, "columns": self.columns, "dtypes": self.dtypes,
-                "profiles": [asdict(p) for p in self.profiles], "ranges": self.ranges, "missing": self.missing,
+                "profiles": [asdict(p) for p in self.profiles], "ranges": self.ranges, "missing": self.missing, "absent": self.absent,
                 "draws": {"columns": d.columns, "labels": [int(g) for g in d.labels],
                           "counts": [float(c) for c in d.counts], "means": np.asarray(d.means).tolist(),
                           "factors": np.asarray(d.factors).tolist(), "marginals": marginals, "local": d.local}}
@@ -121,7 +126,7 @@ class FittedModel:
         return FittedModel(body["preset"], body["seed"], body["columns"], body["dtypes"],
                            [prof.ColumnProfile(**p) for p in body["profiles"]], draws,
                            {c: tuple(r) for c, r in body["ranges"].items()}, body["missing"],
-                           spark.read.parquet(f"{path}/intervals"))
+                           spark.read.parquet(f"{path}/intervals"), absent=body.get("absent", []))
 
 
 @dataclass
@@ -185,7 +190,12 @@ class Synthesizer:
     def fit(self, df: DataFrame) -> FittedModel:
         tune(df.sparkSession)
         timer = StageTimer()
+        names, types = list(df.columns), dict(df.dtypes)
         with timer.stage("profile", FITTING):
+            df = df.select(*[F.nanvl(c, F.lit(None).cast(types[c])).alias(c) if types[c] in ("double", "float") else F.col(c) for c in names])  # NaN is missing
+            valued = df.agg(*[F.count(c).alias(c) for c in names]).first()
+            absent = [c for c in names if not valued[c]]
+            df = df.drop(*absent)
             profiles = prof.profile_columns(df, order_by=self.row_id)
         with timer.stage("encode", FITTING):
             table, intervals, rates = self.encode(df, profiles)
@@ -199,8 +209,8 @@ class Synthesizer:
                 draws = getattr(self, f"_fit_{self.preset}")(table, columns)
         finally:
             table.unpersist()
-        return FittedModel(self.preset, self.seed, list(df.columns), dict(df.dtypes), profiles, draws,
-                           {c: r for c, r in ranges.items() if r[0] is not None}, rates, intervals, timer=timer)
+        return FittedModel(self.preset, self.seed, names, types, profiles, draws,
+                           {c: r for c, r in ranges.items() if r[0] is not None}, rates, intervals, timer=timer, absent=absent)
 
     def _dependence(self, scores: DataFrame, columns: list[str]) -> np.ndarray:
         if self.use_covariance:

@@ -68,3 +68,25 @@ def test_scores_and_adherence_on_a_stream(spark, tmp_path):
     counted = drain(adherence_per_window(stream, {"value": (0.0, 20.0)}, "ts", "1 hour"), "adhering", "complete")
     assert counted.agg(F.sum("n")).first()[0] == events.count()
     assert counted.agg(F.sum("inside")).first()[0] == events.filter("value between 0 and 20").count()
+
+
+@pytest.mark.parametrize("preset", ["mixture_copula", "elbow_copula", "joint_mixture"])
+def test_nan_empty_and_boolean_columns_survive_a_fit(spark, orders, preset):
+    from pyspark.sql import functions as F
+    price = F.when(F.col("o_orderkey") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    dirty = orders.drop("o_custkey").withColumn("o_totalprice", price).withColumn("none", F.lit(None).cast("double"))
+    dirty = dirty.withColumn("flag", F.col("o_orderkey") % 3 == 0)
+    model = Synthesizer(preset, row_id="o_orderkey", k=None if preset == "mixture_copula" else 2, max_components=2).fit(dirty)
+    made = model.sample(spark, 400)
+    assert made.dtypes == dirty.dtypes
+    row = made.agg(F.count("none").alias("none"), F.count("o_totalprice").alias("price"), F.countDistinct("flag").alias("flags"),
+                   F.sum(F.isnan("o_totalprice").cast("int")).alias("nan")).first()
+    assert row["none"] == 0 and 300 <= row["price"] < 400 and row["flags"] == 2 and not row["nan"]
+
+
+def test_density_of_a_constant_or_empty_column(spark):
+    from pyspark.sql import functions as F
+    from synthframe.operators.marginals import kernel_density
+    flat = kernel_density(spark.range(50).select(F.lit(2.0).alias("v")), "v", points=11).collect()
+    assert len(flat) == 11 and abs(flat[0]["density"] - 0.3989422804) < 1e-9
+    assert kernel_density(spark.createDataFrame([(None,), (float("nan"),)], "v double"), "v").count() == 0
