@@ -94,6 +94,44 @@ def test_near_dedup_odd_rows(docs, odd):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_near_dedup_finds_links_at_the_threshold(spark, monkeypatch, block):
+    """A group whose members link with some others only, compared in one cell or in many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    base, rows = words(rng, 100, 10 ** 6).split(), []
+    for i in range(90):
+        text = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 5, 6, 7, 8])):
+            text[at] = f"new{rng.randrange(3)}" if i % 2 else f"own{i}"
+        rows.append((i, " ".join(text)))
+    want = [(i, *v) for (i, _), v in zip(rows, brute.near_groups(rows, 2, 80), strict=True)]
+    found = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found) == want
+    assert len({w[2] for w in want}) > 1
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_compared_pairs_lose_no_link(spark, monkeypatch, block):
+    """Every pair of one bucket and different roots that is a link leaves its cell, and none inside a root does."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(2)
+    base, sets = words(rng, 80, 10 ** 6).split(), []
+    for i in range(40):
+        text = list(base)
+        for at in rng.sample(range(80), rng.randrange(1, 6)):
+            text[at] = f"own{i}"
+        sets.append(near_dedup.shingles(" ".join(text), 2))
+    node, root = [bytes([i]) for i in range(40)], [bytes([i if i % 4 == 0 else 0]) for i in range(40)]
+    signed = spark.createDataFrame([(node[i], len(x), near_dedup.signature(x)[1], near_dedup.parities(x)) for i, x in enumerate(sets)],
+                                   "node binary, n long, bits array<long>, parity array<long>")
+    placed = spark.createDataFrame([(b, node[i], root[i]) for b in (1, 2) for i in range(40)], "bucket long, node binary, root binary")
+    got = {(r["a"][0], r["b"][0]) for r in near_dedup.apart(placed, signed, 80).collect()}
+    links = {(i, j) for i in range(40) for j in range(i + 1, 40)
+             if root[i] != root[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert links and links <= got and all(root[i] != root[j] for i, j in got)
+
+
 def test_estimate_is_close(spark):
     rng = random.Random(1)
     left = words(rng, 400, 10 ** 6).split()
