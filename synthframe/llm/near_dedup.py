@@ -2,14 +2,17 @@
 
 Documents with equal shingle sets are one node.  A node has 160 minima: 32 bands of
 five find candidates, and the low four bits of each minimum, packed into ten numbers,
-estimate the similarity by bit counts, corrected for chance collisions.  Estimates
-only discard; every link is confirmed on the full sets.
+estimate the similarity by bit counts, corrected for chance collisions.  A bitmap of
+the set's hashes modulo 1024, each bit the parity of its hashes, bounds the difference
+of two sets from below: a bit that differs needs an element that only one set has.
+Estimate and bound only discard; every link is confirmed on the full sets.
 
 No bucket is paired out.  First every node is tested against one node of each of its
 buckets, drawn by a hash that differs from bucket to bucket, and confirmed links join nodes into components.  Then only nodes that share a
-bucket but not a component are tested with each other, for a link inside a component
-changes nothing.  So a group of copies of any size costs one pair for each member,
-and no link between different components is skipped.
+bucket but not a component are compared, for a link inside a component changes
+nothing: their sketches meet in cells of at most two blocks, and only pairs that may
+link leave a cell as rows.  So a group of copies of any size costs one pair for each
+member, and no link between different components is skipped.
 """
 
 from __future__ import annotations
@@ -29,6 +32,12 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 BITS, PER_LONG = 4, 16
 SLACK = 0.2  # six standard deviations of the estimate from 160 minima
+PARITY_BITS = 1024
+WORDS = PARITY_BITS // 64
+#: Nodes of a bucket that are compared in one place; a larger bucket is split.
+BLOCK = 2048
+#: Pairs whose sketches are in memory at once.
+PAIRS_AT_ONCE = 65_536
 _FACTOR = repeats.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SHIFT = repeats.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -64,6 +73,13 @@ def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return bands.view(np.int64).tolist(), packed.view(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """Bit i: whether an odd number of hashes are i modulo `PARITY_BITS`."""
+    places = (hashes >> np.uint64(7)) & np.uint64(PARITY_BITS - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def node_of(hashes: np.ndarray) -> bytes | None:
     return hashlib.sha256(hashes.tobytes()).digest()[:16] if len(hashes) else None
 
@@ -73,9 +89,9 @@ def text_key(text: str) -> bytes:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n, text_key, bands, bits) of every row.
+    """(doc_id, node, n, text_key, bands, bits, parity) of every row.
 
-    The node is null without words; bands and bits are given once for each node of a
+    The node is null without words; the sketches are given once for each node of a
     batch.
     """
     def run(batches):
@@ -86,13 +102,13 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 node = node_of(found)
                 new = node is not None and node not in seen
                 seen.add(node)
-                rows.append((node, len(found), text_key(text) if new else None, *(signature(found) if new else (None, None))))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                rows.append((node, len(found), text_key(text) if new else None, *((*signature(found), parities(found)) if new else (None, None, None))))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                             ["doc_id", "node", "n", "text_key", "bands", "bits"])
+                                             ["doc_id", "node", "n", "text_key", "bands", "bits", "parity"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, node binary, n bigint, text_key binary, bands array<bigint>, bits array<bigint>")
+    return texts(docs).mapInArrow(run, "doc_id bigint, node binary, n bigint, text_key binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -107,13 +123,111 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
+def within(a: str, b: str, sizes: Column, percent: int) -> Column:
+    """Whether the bits that differ leave a link possible: (100 - percent) * sizes >= (100 + percent) * difference."""
+    differ = F.lit(0)
+    for i in range(WORDS):
+        differ = differ + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    return (100 - percent) * sizes >= (100 + percent) * differ
+
+
 def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and estimated similarity leave a link possible."""
-    left = signed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = signed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    """The pairs (a, b) whose sizes, parities and estimated similarity leave a link possible."""
+    left = signed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("parity_a"))
+    right = signed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("parity").alias("parity_b"))
     both = pairs.join(left, "a").join(right, "b")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.filter(sizes & (estimate("bits_a", "bits_b") >= percent / 100 - SLACK)).select("a", "b")
+    both = both.filter(sizes & within("parity_a", "parity_b", F.col("n_a") + F.col("n_b"), percent))
+    return both.filter(estimate("bits_a", "bits_b") >= percent / 100 - SLACK).select("a", "b")
+
+
+def cells(placed: DataFrame) -> DataFrame:
+    """The rows (bucket, node, root, ...) of buckets with several roots, dealt into cells of bounded size.
+
+    A bucket of up to `BLOCK` nodes is one cell.  In a larger one the nodes outside its
+    commonest root are cut into blocks, which meet each other and each block of the
+    commonest root; that root's nodes never meet among themselves.
+    """
+    present = placed.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    buckets = present.groupBy("bucket").agg(
+        F.sum("of_root").alias("size"), F.count("*").alias("n_roots"), F.max(F.struct("of_root", "root")).alias("most"))
+    buckets = buckets.filter("n_roots > 1").select(
+        "bucket", "size", F.col("most.root").alias("major_root"),
+        F.ceil(F.col("most.of_root") / BLOCK).cast("int").alias("major_parts"),
+        F.ceil((F.col("size") - F.col("most.of_root")) / BLOCK).cast("int").alias("minor_parts"))
+    rows = placed.join(buckets, "bucket").withColumn("major", F.expr("root = major_root"))
+    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(node, 'part'), IF(major, major_parts, minor_parts)) AS int)"))
+    dealt = F.expr(f"""CASE WHEN size <= {BLOCK} THEN array(named_struct('i', 0, 'j', 0, 'mixed', false, 'tag', 0))
+        WHEN major THEN transform(sequence(0, minor_parts - 1), q -> named_struct('i', q, 'j', part, 'mixed', true, 'tag', -1))
+        ELSE concat(
+            transform(sequence(0, minor_parts - 1), q -> named_struct('i', least(q, part), 'j', greatest(q, part), 'mixed', false, 'tag', part)),
+            transform(sequence(0, major_parts - 1), q -> named_struct('i', part, 'j', q, 'mixed', true, 'tag', part))) END""")
+    return rows.select("bucket", "node", "root", F.explode(dealt).alias("cell")).select("bucket", "cell.*", "node", "root")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: np.ndarray, parity: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of row numbers sizes, parities and estimates leave possible: what `plausible` tests."""
+    keep = np.flatnonzero(100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    differ = np.bitwise_count(parity[a[keep]] ^ parity[b[keep]]).sum(axis=1, dtype=np.int64)
+    keep = keep[(100 - percent) * (n[a[keep]] + n[b[keep]]) >= (100 + percent) * differ]
+    x = bits[a[keep]] ^ bits[b[keep]]
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+    chance = 2.0 ** -BITS
+    return keep[((1 - differ / MINIMA) - chance) / (1 - chance) >= percent / 100 - SLACK]
+
+
+def apart(placed: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a bucket, have different roots and may link."""
+    sketches = signed.select("node", "n", "bits", "parity")
+    key = ["bucket", "mixed", "i", "j"]
+    rows = cells(placed).join(sketches, "node").repartition(*key).sortWithinPartitions(*key, F.desc("tag"))
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of the rows of whole cells."""
+        count = table.num_rows
+        code = np.column_stack([table[c].to_numpy().astype(np.int64) for c in key])
+        new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]).any(axis=1)])
+        end = np.repeat(np.r_[new[1:], count], np.diff(np.r_[new, count]))
+        mixed, tag = code[:, 1] == 1, table["tag"].to_numpy()
+        halves = mixed | (code[:, 2] != code[:, 3])  # rows with equal tags do not meet here
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        n = table["n"].to_numpy()
+        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(count, -1)
+        parity = table["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(count, -1)
+        partners = np.where(mixed & (tag < 0), 0, end - np.arange(count) - 1)  # tags fall: a commonest root comes last
+        before = np.r_[0, np.cumsum(partners)]
+        found = []
+        for low in range(0, int(before[-1]), PAIRS_AT_ONCE):
+            at = np.arange(low, min(low + PAIRS_AT_ONCE, int(before[-1])))
+            a = np.searchsorted(before, at, side="right") - 1
+            b = a + 1 + at - before[a]
+            meet = (root[a] != root[b]) & ~(halves[a] & (tag[a] == tag[b]))
+            a, b = a[meet], b[meet]
+            keep = may_link(a, b, n, bits, parity, percent)
+            found.append(np.column_stack([a[keep], b[keep]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        node = table["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(pairs[:, 0])), node.take(pa.array(pairs[:, 1]))], ["a", "b"])
+
+    def run(batches):
+        """Rows of the last cell of a batch wait for the next one; a cell has two blocks at most."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            code = np.column_stack([table[c].to_numpy().astype(np.int64) for c in key])
+            cuts = np.flatnonzero((code[1:] != code[:-1]).any(axis=1))
+            whole = int(cuts[-1]) + 1 if len(cuts) else 0
+            held = table.slice(whole)
+            if whole:
+                yield compare(table.slice(0, whole))
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    found = rows.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
@@ -177,7 +291,7 @@ def components(links: DataFrame) -> DataFrame:
 def link_nodes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) for all nodes that have a link to another; `rows` is the written result of `sketched`."""
     signed = stash(rows.filter("bands IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "near-signatures")
-    buckets = signed.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+    buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     drawn = F.struct(F.xxhash64("node", "bucket").alias("draw"), "node")  # another pivot in each bucket
     shared = buckets.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max("node").alias("top"), F.min("node").alias("bottom"))
     shared = shared.filter("top <> bottom").select("bucket", F.col("low.node").alias("pivot"))
@@ -186,19 +300,8 @@ def link_nodes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     links = confirmed(docs, plausible(stars, signed, percent), signed, size, percent)
     roots = components(links)
 
-    placed = crowded.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    present = placed.groupBy("bucket", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = present.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("bucket")
-    present = present.join(mixed, "bucket")
-    crossing = present.alias("x").join(present.alias("y"), "bucket").filter(
-        f"x.root < y.root AND 100 * x.high >= {percent} * y.low AND 100 * y.high >= {percent} * x.low").select(
-        "bucket", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
-    left = placed.select("bucket", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("n").alias("size_a"))
-    right = placed.select("bucket", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("n").alias("size_b"))
-    apart = crossing.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"])
-    apart = apart.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(docs, plausible(apart, signed, percent), signed, size, percent)
+    placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    more = confirmed(docs, apart(placed, signed, percent), signed, size, percent)
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
