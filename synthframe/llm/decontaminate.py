@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import texts
+from synthframe.llm.common import texts, tidied
 
 #: One edit for so many characters of an item.
 CHARACTERS_PER_EDIT = 20
@@ -128,7 +128,7 @@ def find(docs: DataFrame, benchmark: DataFrame, characters_per_edit: int = CHARA
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "ends_at"])
 
-        searched = rows.mapInArrow(search, OUT)
+        searched = rows.mapInArrow(tidied(search), OUT)
         found = searched if found is None else found.unionByName(searched)
     return found
 
@@ -148,5 +148,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, characters_per_edit
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch["text"].to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(clean, docs.schema)
+        kept = kept.mapInArrow(tidied(clean), docs.schema)
     return kept

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import bounded_sample, held_out, texts
+from synthframe.llm.common import bounded_sample, held_out, texts, tidied
 
 #: ISO 639-1 codes by family. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel:
                     if _LETTER.search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary())], ["lang", "x"])
 
-    rows = sorted(chosen.select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect())
+    rows = sorted(chosen.select("text", "lang").mapInArrow(tidied(vectors), "lang string, x binary").collect())
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows], dtype=np.float32).reshape(len(rows), BUCKETS)
     return LanguageModel(x, [r["lang"] for r in rows])
 
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, keep: tuple[st
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[f for f in fields if f != "doc_id"])
-    out = rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    out = rows.mapInArrow(tidied(predict), f"{schema}, lang_pred string, score double")
     return out.withColumn("held_out", held_out())
 
 
@@ -179,4 +179,4 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None = None) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array([known.predict(t or "")[0] != UNKNOWN for t in batch["text"].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)

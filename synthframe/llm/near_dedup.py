@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.llm import repeats
-from synthframe.llm.common import BROADCAST_KEYS, stash, texts
+from synthframe.llm.common import BROADCAST_KEYS, stash, texts, tidied
 from synthframe.llm.substring_dedup import _words
 
 BANDS, ROWS = 32, 5
@@ -108,7 +108,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                                              ["doc_id", "node", "n", "text_key", "bands", "bits", "parity"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, node binary, n bigint, text_key binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
+    return texts(docs).mapInArrow(tidied(run), "doc_id bigint, node binary, n bigint, text_key binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -226,7 +226,7 @@ def apart(placed: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield compare(held)
 
-    found = rows.mapInArrow(run, "a binary, b binary")
+    found = rows.mapInArrow(tidied(run), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -248,7 +248,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, signed: DataFrame, size: int, p
                 [pa.array(list(rows), pa.binary()), pa.array([len(x) for x in bodies], pa.int64()),
                  pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in bodies], pa.binary())], ["text_key", "size", "body"])
 
-    bodies = texts(docs).select("text").mapInArrow(run, "text_key binary, size bigint, body binary").join(wanted, "text_key").dropDuplicates(["node"])
+    bodies = texts(docs).select("text").mapInArrow(tidied(run), "text_key binary, size bigint, body binary").join(wanted, "text_key").dropDuplicates(["node"])
     bodies = stash(bodies.select("node", "size", "body"), "near-texts")
     left = bodies.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("body").alias("body_b"))
@@ -264,7 +264,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, signed: DataFrame, size: int, p
                 hit.append(100 * shared >= percent * (len(held) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return stash(pairs.join(left, "a").join(right, "b").mapInArrow(test, "a binary, b binary"), "near-links")
+    return stash(pairs.join(left, "a").join(right, "b").mapInArrow(tidied(test), "a binary, b binary"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,6 +341,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "near node"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    rows = docs.mapInArrow(with_node, f"{kept}`near node` binary")
+    rows = docs.mapInArrow(tidied(with_node), f"{kept}`near node` binary")
     same = rows["doc_id"].eqNullSafe(dropped["dropped_id"]) & (rows["near node"] == dropped["dropped_node"])
     return rows.join(dropped, same, "left_anti").select(*docs.columns)

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import stash, texts
+from synthframe.llm.common import stash, texts, tidied
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 20_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 
 
 class _Tokenizer:
@@ -103,7 +103,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return texts(docs).mapInArrow(tidied(pieces), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, rounds: int = 6) -> list[list[int]]:

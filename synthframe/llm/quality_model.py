@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import bounded_sample, held_out, texts
+from synthframe.llm.common import bounded_sample, held_out, texts, tidied
 
 WIDTH, FILTERS, CHUNK = 6, 12, 256
 STEP = CHUNK - WIDTH + 1  # chunks overlap by a filter's width, so no position is skipped
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 500) -> QualityMode
                 found.append(parts[np.unique(np.linspace(0, len(parts) - 1, TRAIN_CHUNKS).astype(int))].tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
 
-    sample = sorted(rows.select("doc_id", "quality", "text").mapInArrow(cut, "doc_id bigint, quality int, x binary").limit(8 * per_class).collect())
+    sample = sorted(rows.select("doc_id", "quality", "text").mapInArrow(tidied(cut), "doc_id bigint, quality int, x binary").limit(8 * per_class).collect())
     model = QualityModel()
     marks = np.array([r["quality"] for r in sample], dtype=np.float32)
     if len(sample):
@@ -142,5 +142,5 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             values = [shared.value.score(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.float64())], ["doc_id", "score"])
 
-    out = rows.mapInArrow(scored, "doc_id bigint, score double")
+    out = rows.mapInArrow(tidied(scored), "doc_id bigint, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

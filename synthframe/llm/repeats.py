@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import BROADCAST_KEYS, stash, texts
+from synthframe.llm.common import BROADCAST_KEYS, stash, texts, tidied
 
 ASKED = "key bigint, chk int, d bigint, e int, at bigint, extra binary, known binary"
 MARKED = "d bigint, e int, at binary"
@@ -130,7 +130,7 @@ def answers(asked: DataFrame) -> DataFrame:
             yield marks(table.filter(pa.array(hit)))
             rest = table.slice(table.num_rows - 1)
 
-    return sorted_questions(asked).mapInArrow(equal_neighbours, MARKED)
+    return sorted_questions(asked).mapInArrow(tidied(equal_neighbours), MARKED)
 
 
 def known_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def produce(docs: DataFrame, content: Callable[[str], bytes], build: Callable, s
                 found.setdefault(text_key(body)[:2], body)
             yield from build([(d, e, body) for (d, e), body in found.items()])
 
-    return texts(docs).select("text").mapInArrow(run, schema)
+    return texts(docs).select("text").mapInArrow(tidied(run), schema)
 
 
 def with_text(docs: DataFrame, content: Callable[[str], bytes], marked: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def digests(docs: DataFrame, content: Callable[[str], bytes], size: Callable[[by
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(d, pa.int64()), pa.array(e, pa.int32()), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
                                              ["doc_id", "d", "e", "n", "sha"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, d bigint, e int, n bigint, sha string")
+    return texts(docs).mapInArrow(tidied(run), "doc_id bigint, d bigint, e int, n bigint, sha string")
 
 
 def finish(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:

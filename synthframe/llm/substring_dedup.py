@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from synthframe.llm import repeats
-from synthframe.llm.common import stash
+from synthframe.llm.common import stash, tidied
 
 WINDOW = 35
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 
 
 def content(text: str) -> bytes:
@@ -106,7 +106,7 @@ def windows(marked: DataFrame, window: int = WINDOW) -> DataFrame:
                 places.append(start)
             yield repeats.questions(keys, checks, owners, places)
 
-    return marked.mapInArrow(run, repeats.ASKED)
+    return marked.mapInArrow(tidied(run), repeats.ASKED)
 
 
 def _remove(marked: DataFrame, window: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _remove(marked: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "e", "removed", "spans", "kept_sha"])
 
-    return marked.mapInArrow(run, "d bigint, e int, removed bigint, spans bigint, kept_sha string")
+    return marked.mapInArrow(tidied(run), "d bigint, e int, removed bigint, spans bigint, kept_sha string")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from synthframe.llm import repeats
-from synthframe.llm.common import stash
+from synthframe.llm.common import stash, tidied
 
 WINDOW = 200
 HEAD = 64
@@ -153,7 +153,7 @@ def groups(marked: DataFrame, window: int) -> DataFrame:
                 places.append((s0 - high) * GROUP + high - low)
             yield repeats.questions(keys, checks, owners, places, np.concatenate(extras) if extras else np.zeros((0, 2 * GROUP), np.uint8))
 
-    return marked.mapInArrow(run, repeats.ASKED)
+    return marked.mapInArrow(tidied(run), repeats.ASKED)
 
 
 def _equal_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def repeated_windows(asked: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from _equal_windows(rest)
 
-    return repeats.sorted_questions(asked).mapInArrow(run, repeats.MARKED)
+    return repeats.sorted_questions(asked).mapInArrow(tidied(run), repeats.MARKED)
 
 
 def _remove(marked: DataFrame, window: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _remove(marked: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "e", "removed", "spans", "kept_sha"])
 
-    return marked.mapInArrow(run, "d bigint, e int, removed bigint, spans bigint, kept_sha string")
+    return marked.mapInArrow(tidied(run), "d bigint, e int, removed bigint, spans bigint, kept_sha string")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
