@@ -18,8 +18,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def delete_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of line runs; a document that loses all its lines goes."""
-    found = line_dedup.delete_copies(docs).filter("`line counts`.n_removed < `line counts`.n_lines")
+    """Delete later copies of line runs of three lines or fifty words; a document that loses all its lines goes."""
+    found = line_dedup.delete_copies(docs, words=line_dedup.MIN_WORDS).filter("`line counts`.n_removed < `line counts`.n_lines")
     length = F.length("text").cast("long")
     return found.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -10,57 +10,76 @@ later copies of one source make a maximal run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.llm.common import stash
+from synthframe.llm.common import SPACE, stash
 
 MIN_LINES = 3
+#: Words that make a shorter run count, where they are asked for.
+MIN_WORDS = 50
 
 
-def _doubled(rows: DataFrame, least: int) -> DataFrame:
-    """`a` and `b`: ranks, as hash pairs, of the runs of `least` lines that start at each line."""
-    length = 1
-    while length < least:
-        step = min(length, least - length)
+def _words(line: Column) -> Column:
+    """The number of words of a line."""
+    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE)))
+
+
+def _runs(rows: DataFrame, least: int, words: int | None) -> DataFrame:
+    """(row, id, line, length, a, b): every run that is compared, and its rank as a hash pair.
+
+    Runs are of `least` lines; with `words`, also the shorter ones that have so many words.
+    """
+    length, found = 1, []
+    while True:
+        if length == least:
+            found.append(F.expr(f"transform(a, (x, i) -> struct(i AS line, {length} AS length, x AS a, b[i] AS b))"))
+            break
+        if words is not None:
+            rows = rows.withColumn(f"short{length}", F.expr(f"""filter(transform(a, (x, i) -> struct(i AS line, {length} AS length, x AS a, b[i] AS b)),
+                r -> aggregate(slice(n, r.line + 1, {length}), 0, (t, v) -> t + v) >= {words})"""))
+            found.append(F.col(f"short{length}"))
+        step = min(length, least - length) if words is None else 1
         rows = rows.withColumns({
             name: F.expr(f"""CASE WHEN size({name}) <= {step} THEN array() ELSE
                 transform(sequence(0, size({name}) - 1 - {step}), i -> xxhash64({salt}, {name}[i], {name}[i + {step}])) END""")
             for name, salt in (("a", 11 * length), ("b", 11 * length + 5))})
         length += step
-    return rows
+    return rows.select("row", "id", F.inline(F.concat(*found)))
 
 
-def copies(rows: DataFrame, least: int) -> DataFrame:
-    """(row, starts): for each row with later copies, (line, source row, source line) of every copied start."""
-    ranked = _doubled(rows.select(
+def copies(rows: DataFrame, least: int, words: int | None = None) -> DataFrame:
+    """(row, starts): for each row with later copies, (line, source row, source line, length) of every copied start."""
+    sizes = {} if words is None else {"n": F.transform("lines", lambda x: _words(x["text"]))}
+    suffixes = _runs(rows.select(
         "row", "id", F.transform("lines", lambda x: F.xxhash64(x["text"])).alias("a"),
-        F.transform("lines", lambda x: F.xxhash64(F.lit(5), F.length(x["text"]), x["text"])).alias("b")), least)
-    suffixes = ranked.select("row", "id", F.posexplode(F.arrays_zip("a", "b")).alias("line", "rank")).select(
-        F.struct("id", "row", "line").alias("place"), "rank.a", "rank.b")
+        F.transform("lines", lambda x: F.xxhash64(F.lit(5), F.length(x["text"]), x["text"])).alias("b"),
+        *[c.alias(name) for name, c in sizes.items()]), least, words).select(F.struct("id", "row", "line").alias("place"), "length", "a", "b")
     intervals = suffixes.groupBy("a", "b").agg(F.min("place").alias("source"), F.max("place").alias("latest"))
     later = suffixes.join(intervals.filter("source <> latest").select("a", "b", "source"), ["a", "b"]).filter("place <> source")
-    start = F.struct("place.line", F.col("source.row").alias("source_row"), F.col("source.line").alias("source_line"))
+    start = F.struct("place.line", F.col("source.row").alias("source_row"), F.col("source.line").alias("source_line"), "length")
     return later.groupBy(F.col("place.row").alias("row")).agg(F.sort_array(F.collect_list(start)).alias("starts"))
 
 
-def delete_copies(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
+def delete_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = None) -> DataFrame:
     """All columns of `docs` with later copies of line runs deleted from `text`, and `line counts`.
 
     `line counts` holds n_lines, n_removed and n_runs.  A run is `least` or more
-    lines with a word, in sequence; blank lines neither match nor go.  Null texts stay
-    null, empty ones empty.  Of repeated rows the first written keeps its lines.  Null
+    lines with a word, in sequence, or with `words` also fewer lines that together have
+    at least so many words; blank lines neither match nor go.  Null texts stay null, empty ones empty.  Of repeated rows the first written keeps its lines.  Null
     ids come first in the order.  An empty table gives no rows.
     """
     numbered = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")), "line-rows")
     lines = F.split(F.coalesce("d.text", F.lit("")), "\n")
     indexed = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("at"))), lambda x: x["text"].rlike(r"[^\x20\x09-\x0D]"))
-    found = copies(numbered.select("row", F.col("d.doc_id").alias("id"), indexed.alias("lines")), least)
+    found = copies(numbered.select("row", F.col("d.doc_id").alias("id"), indexed.alias("lines")), least, words)
     joined = numbered.join(found, "row", "left").withColumn("lines", lines).withColumn("indexed", indexed)
-    covered = F.expr(f"""array_distinct(flatten(transform(coalesce(starts, array()),
-        s -> transform(sequence(s.line, s.line + {least - 1}), p -> indexed[p].at))))""")
-    runs = F.expr("""size(filter(coalesce(starts, array()), (s, i) -> NOT coalesce(get(starts, i - 1).line = s.line - 1
-        AND get(starts, i - 1).source_row = s.source_row AND get(starts, i - 1).source_line = s.source_line - 1, false)))""")
+    covered = F.expr("""array_distinct(flatten(transform(coalesce(starts, array()),
+        s -> transform(sequence(s.line, s.line + s.length - 1), p -> indexed[p].at))))""")
+    # starts that no start one line before, of the same source, leads to
+    runs = F.expr("""size(array_except(transform(coalesce(starts, array()), s -> xxhash64(s.line, s.source_row, s.source_line)),
+        transform(coalesce(starts, array()), s -> xxhash64(s.line + 1, s.source_row, s.source_line + 1))))""")
     marked = joined.select("d", "lines", covered.alias("gone"), runs.alias("runs"), F.size("indexed").alias("n"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
     text = F.when(F.size("gone") == 0, F.col("d.text")).otherwise(kept)

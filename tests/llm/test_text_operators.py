@@ -204,6 +204,22 @@ def test_line_dedup_odd_rows(docs, odd):
     assert by[12]["text"] == "\n" + odd[12][1].split("\n")[-1] and by[12]["line counts"]["n_runs"] == 1
 
 
+def test_line_dedup_by_words(spark):
+    """One-line and two-line passages of fifty words, shared by different documents; shorter ones stay."""
+    import corpus_pipeline
+    rng = random.Random(6)
+    one, two, few = words(rng, 50), [words(rng, 24), " " + words(rng, 26) + "\t"], words(rng, 49)
+    own = [words(rng, 9) for _ in range(9)]
+    texts = [one, one, f"{own[0]}\n{one}\n{own[1]}", "\n".join([own[2], *two, own[3]]), "\n".join([own[4], two[0], "", two[1]]), f"{few}\n{own[5]}", few,
+             f"{two[1]}\n{own[6]}", "\n".join([own[7], one, one, *two, own[8]])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], *r["line counts"]) for r in line_dedup.delete_copies(frame, words=50).collect()}
+    assert found == {0: (one, 1, 0, 0), 1: ("", 1, 1, 1), 2: (f"{own[0]}\n{own[1]}", 3, 1, 1), 3: (texts[3], 4, 0, 0), 4: (f"{own[4]}\n", 3, 2, 1),
+                     5: (texts[5], 2, 0, 0), 6: (few, 1, 0, 0), 7: (texts[7], 2, 0, 0), 8: (f"{own[7]}\n{own[8]}", 6, 4, 3)}
+    stays = {r["doc_id"]: r["text"] for r in corpus_pipeline.delete_line_copies(spark, frame, DATA).collect()}
+    assert stays == {i: t for i, (t, *_) in found.items() if i != 1}
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
