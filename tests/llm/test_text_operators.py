@@ -1,6 +1,7 @@
 """The text operators against plain versions, and their behaviour on odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -259,6 +260,25 @@ def test_licenses_are_found_whole_and_cut(spark):
     assert (50, "MIT-permission") in found and (55, "MIT-permission") in found and not {d for d, _ in found} & {51, 52, 53, 54}
 
 
+def test_licenses_against_brute_force(spark):
+    """Every template that a given document holds word for word, the short one too, and no license line without a row."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pairs(frame) + [(-1, "All  rights\nRESERVED"), (-2, "overall rights reserved"), (-3, "all rights"), (-4, "all rights not reserved")]
+
+    def plain(text):
+        return " " + " ".join(re.findall("[a-z0-9]+", (text or "").lower())) + " "
+
+    notices = {name: plain(t) for name, t in licenses.TEMPLATES.items()}
+    want = sorted((d, name, plain(t)[:plain(t).index(n)].count(" ")) for d, t in rows for name, n in notices.items() if n in plain(t))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {w[:2] for w in want} <= {(r["doc_id"], r["license"]) for r in found}
+    assert [(d, n) for d, n, _ in want] == sorted((r["doc_id"], r["license"]) for r in found if r["containment"] == 1)
+    short = "rights-reserved-short"
+    assert [w for w in want if w[1] == short] == sorted((r["doc_id"], r["license"], r["first_word"]) for r in found if r["license"] == short)
+    lines = {d for d, t in rows for x in (t or "").split("\n") if re.search("licen[sc]ed? |all rights reserved", x.lower())}
+    assert sum(w[1] == short for w in want) > 5 and lines and lines - {-2} <= {r["doc_id"] for r in found}
+
+
 def test_language_on_held_out_rows(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(big, keep=("lang",)).filter("held_out").collect()
