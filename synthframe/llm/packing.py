@@ -106,8 +106,11 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
     return texts(docs).mapInArrow(tidied(pieces), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY, rounds: int = 6) -> list[list[int]]:
-    """Bins of indexes of `lengths`: best fit decreasing, then local search over the underfull bins."""
+def pack(lengths: list[int], capacity: int = CAPACITY, rounds: int | None = None) -> list[list[int]]:
+    """Bins of indexes of `lengths`: best fit decreasing, then local search over the underfull bins.
+
+    The search ends when no exchange improves or no bin can be saved, or after `rounds` passes.
+    """
     bins: list[list[int]] = []
     rooms: list[tuple[int, int]] = []  # (room, bin), ascending
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
@@ -121,47 +124,109 @@ def pack(lengths: list[int], capacity: int = CAPACITY, rounds: int = 6) -> list[
         if room > lengths[i]:
             insort(rooms, (room - lengths[i], b))
     fewest = -(-sum(lengths) // capacity)
-    for _ in range(rounds):
+    passes = 0
+    while len(bins) > fewest and (rounds is None or passes < rounds):
+        changed = _improve(bins, lengths, capacity, fewest)
         bins = [b for b in bins if b]
-        if len(bins) <= fewest or not _improve(bins, lengths, capacity):
+        passes += 1
+        if not changed:
             break
-    return [b for b in bins if b]
+    return bins
+
+
+def _parts(members: list[int], lengths: list[int]) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """Sizes that one and two pieces of a bin have, each with pieces of that size; equal sizes are interchangeable."""
+    by: dict[int, list[int]] = {}
+    for i in members:
+        by.setdefault(lengths[i], []).append(i)
+    kinds, pairs = list(by.items()), {}
+    for k, (n, own) in enumerate(kinds):
+        if len(own) > 1:
+            pairs.setdefault(2 * n, (own[0], own[1]))
+        for m, others in kinds[k + 1:]:
+            pairs.setdefault(n + m, (own[0], others[0]))
+    return {n: (own[0],) for n, own in kinds}, pairs
+
+
+class _Offers:
+    """What bins can give back for pieces they take, by size.
 
+    An offer takes up to its reach: its size and its bin's room.  The gain is largest
+    for the smallest offer that reaches far enough, found in the running maximum.
+    """
+
+    def __init__(self, offers: list[tuple[int, int, tuple]], room: np.ndarray):
+        offers.sort(key=lambda x: x[:2])
+        self.pieces = [x[2] for x in offers]
+        self.size, self.bin = (np.array([x[k] for x in offers], dtype=np.int64) for k in (0, 1))
+        self.reach = self.size + room[self.bin]
+        self.top = np.maximum.accumulate(self.reach) if offers else self.reach
+
+    def best(self, size: int, usable: np.ndarray) -> int | None:
+        """The smallest offer below `size` of a usable bin that takes `size`."""
+        at, end = int(np.searchsorted(self.top, size)), int(np.searchsorted(self.size, size))
+        if at >= end:
+            return None
+        if usable[self.bin[at]]:
+            return at
+        hits = (self.reach[at:end] >= size) & usable[self.bin[at:end]]
+        first = int(hits.argmax())
+        return at + first if hits[first] else None
 
-def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
-    """One pass of moves and exchanges from the emptiest underfull bins into fuller ones; whether any was made.
+
+def _improve(bins: list[list[int]], lengths: list[int], capacity: int, fewest: int = 0) -> bool:
+    """One pass of moves and exchanges from each underfull bin, the emptiest first, into any fuller one; whether any was made.
 
     A transfer from a bin to one at least as full raises the sum of squared fills, so
-    passes end.  For a bin with `room`, the best gain is the largest difference not
-    above it: a piece (move), a piece for a smaller one (one for one), or two pieces
-    for one and one for two.
+    passes end.  Of all targets the one with the largest gain is taken: a piece or two
+    (move), a piece for a smaller one (one for one), or two pieces for one and one for
+    two.  Offers of bins that changed are kept apart and made anew with each change.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
+    left = sum(1 for b in bins if b)
+
+    def offers(numbers) -> tuple[_Offers, _Offers]:
+        few, pairs = [], []
+        for b in numbers:
+            if 0 < fill[b] < capacity:
+                one, two = _parts(bins[b], lengths)
+                few += [(0, b, ()), *((n, b, p) for n, p in one.items())]
+                pairs += [(n, b, p) for n, p in two.items()]
+        return _Offers(few, capacity - fill), _Offers(pairs, capacity - fill)
+
+    clean = np.ones(len(bins), dtype=bool)
+    known, fresh, stale = offers(range(len(bins))), offers(()), set()
     changed = False
-    for lo, source in enumerate(order[:max(1, len(order) // 2)]):
-        for target in reversed(order[lo + 1:][-64:]):
-            room = capacity - fill[target]
-            if not bins[source] or room <= 0 or fill[target] < fill[source]:
-                continue
-            out = [((i,), lengths[i]) for i in bins[source]]
-            out += [((i, j), lengths[i] + lengths[j]) for n, i in enumerate(bins[source][:24]) for j in bins[source][n + 1:24]]
-            back = [((), 0)] + [((i,), lengths[i]) for i in bins[target]]
-            back += [((i, j), lengths[i] + lengths[j]) for n, i in enumerate(bins[target][:24]) for j in bins[target][n + 1:24]]
-            back.sort(key=lambda x: x[1])
-            sizes = [x[1] for x in back]
+    for source in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b)):
+        while bins[source] and fill[source] < capacity:
+            fuller = fill >= fill[source]
+            fuller[source] = False
+            one, two = _parts(bins[source], lengths)
             gain, best = 0, None
-            for take, size in out:
-                at = bisect_left(sizes, size - room)
-                if at < len(back) and len(take) + len(back[at][0]) <= 3 and size - sizes[at] > gain:
-                    gain, best = size - sizes[at], (take, back[at][0])
-            if best:
-                take, give = best
-                bins[source] = [i for i in bins[source] if i not in take] + list(give)
-                bins[target] = [i for i in bins[target] if i not in give] + list(take)
-                fill[source] -= gain
-                fill[target] += gain
-                changed = True
+            for (few, pairs), usable in ((known, fuller & clean), (fresh, fuller)):
+                for options, given in ((one, few), (two, few), (one, pairs)):
+                    for size, take in options.items():
+                        at = given.best(size, usable) if size > gain else None
+                        if at is not None and size - given.size[at] > gain:
+                            gain, best = int(size - given.size[at]), (take, given.pieces[at], int(given.bin[at]))
+            if best is None:
+                break
+            take, give, target = best
+            bins[source] = [i for i in bins[source] if i not in take] + list(give)
+            bins[target] = [i for i in bins[target] if i not in give] + list(take)
+            fill[source] -= gain
+            fill[target] += gain
+            changed = True
+            left -= not bins[source]
+            if left <= fewest:
+                return True
+            stale |= {source, target}
+            clean[source] = clean[target] = False
+            if len(stale) > 64:
+                known, fresh, stale = offers(range(len(bins))), offers(()), set()
+                clean[:] = True
+            else:
+                fresh = offers(stale)
     return changed
 
 

@@ -173,6 +173,15 @@ def test_local_search_empties_bins():
         assert len(bins) <= -(-sum(lengths) // 4096) + 3
 
 
+def test_local_search_on_a_full_shard():
+    """A shard of 20,000 pieces: best fit leaves 7,780 bins, no packing has fewer than 7,768."""
+    rng = random.Random(7)
+    lengths = [rng.randrange(200, 3000) for _ in range(packing.SHARD_PIECES)]
+    fewest, first, bins = -(-sum(lengths) // 4096), packing.pack(lengths, rounds=0), packing.pack(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+    assert fewest <= len(bins) and 2 * (len(bins) - fewest) <= len(first) - fewest
+
+
 def test_rules_match_their_sql(spark, sample):
     import duckdb
     base = duckdb.connect()
