@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthframe.llm import decontaminate, language, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup
+from synthframe.llm import (decontaminate, language, licenses, line_dedup, merkle, near_dedup, packing, quality_model, quality_rules, substring_dedup,
+                            suffix_dedup, vector_dedup, whitening)
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +64,19 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score(documents, quality_model.fit(documents, table(spark, folder, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, folder, "documents"), {"n_chars": F.col("n_chars") + 1}, changed)
+
+
+def op12_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.deduplicate(table(spark, folder, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -74,9 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_dedup": op12_vector_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.oracle(),
     "op6_quality_rules": quality_rules.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
+    "op12_vector_dedup": vector_dedup.oracle(),
 }
