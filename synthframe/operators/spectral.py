@@ -1,48 +1,28 @@
-"""Spectral clustering through landmark affinities.
+"""Spectral clustering on a graph of neighbour edges.
 
-A dense n x n affinity cannot exist at scale, and neighbour joins blow up where many
-rows are alike.  Each row is compared with a fixed number of landmark rows instead
-(the Nystroem form of the Gaussian kernel), so work is n x m, no pair of rows is ever
-emitted, and with every row a landmark the dense result comes back.
+The graph (`graph.build`) has a vertex per distinct row and an edge wherever the
+Gaussian kernel is not negligible; its Laplacian is the unnormalised one, as the
+clustering's definition has it.  Eigenvectors come from products over the edges, the
+cluster count from the largest drop of the spectrum, and clusters from weighted KMeans
+on the eigenvectors; every row gets the cluster of its vertex.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthframe.operators.clustering import kmeans_labels
-
-GAMMA = 5.0
-RIDGE = 1e-5
-SPECTRUM_FLOOR = 1e-8
-
-
-def pick_landmarks(df: DataFrame, columns: Sequence[str], count: int = 200, seed: int = 0) -> np.ndarray:
-    """`count` distinct row vectors with the smallest hashes (every row if there are fewer).
-
-    Landmarks span the kernel; all rows are embedded.  Copies count once, so a hot
-    value cannot crowd out the rest.
-    """
-    vectors = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    h = F.xxhash64(*columns, F.lit(seed))
-    share = min(1.0, 64 * count / max(vectors.count(), 1))
-    near = vectors.filter(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000))
-
-    def lowest(table: DataFrame):
-        return table.dropDuplicates(list(columns)).orderBy(h, *columns).limit(count).collect()
-
-    rows = lowest(near)
-    if len(rows) < count and share < 1.0:
-        rows = lowest(vectors)
-    return np.array([list(r) for r in rows], dtype=float)
+from synthframe.operators import graph as graphs
+from synthframe.operators.clustering import FEATURES, assemble
+from synthframe.operators.graph import FLOOR, GAMMA, RIDGE, VERTICES, Graph, laplacian_edges, row_degrees  # noqa: F401
+from synthframe.session import written
 
 
 def affinity(x: Sequence[Column], y: Sequence[Column], gamma: float = GAMMA) -> Column:
@@ -60,7 +40,7 @@ def np_affinity(x: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarra
 
 def landmark_affinities(df: DataFrame, columns: Sequence[str], landmarks: np.ndarray,
                         gamma: float = GAMMA) -> DataFrame:
-    """Add `affinity`, the kernel values of each row against all landmarks."""
+    """Add `affinity`, the kernel values of each row against a few given points."""
     columns = list(columns)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -70,120 +50,57 @@ def landmark_affinities(df: DataFrame, columns: Sequence[str], landmarks: np.nda
     return df.withColumn("affinity", kernel(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
 
 
-def laplacian_edges(edges: DataFrame) -> DataFrame:
-    """Graph Laplacian (src, dst, value) of a symmetric edge list (src, dst, weight).
+def laplacian_gap_k(graph: Graph, seed: int = 0) -> tuple[int, bool]:
+    """The cluster count at the largest relative drop of the Laplacian spectrum, and whether it is certain."""
+    return graphs.eigen_gap(graph, seed=seed)
+
 
-    Off the diagonal it is the negative weight; the diagonal is the degree.
+def vertex_embedding(graph: Graph, k: int, seed: int = 0) -> DataFrame:
+    """(cell, weight, spectral_1..): k eigenvectors from the small end, or as many as there are.
+
+    The constant vector of a connected graph tells nothing and is left out.  Otherwise
+    the components, largest first, span the null space, of which no one vector is the
+    first, so all count.  Vectors have unit length over the rows; the entry of largest
+    size is positive.
     """
-    off = edges.filter(F.col("src") != F.col("dst"))
-    degree = off.groupBy(F.col("src")).agg(F.sum("weight").alias("value"))
-    return (off.select("src", "dst", (-F.col("weight")).alias("value"))
-            .unionByName(degree.select("src", F.col("src").alias("dst"), "value")))
-
-
-@dataclass
-class SpectralModel:
-    """Landmarks and the maps from a row to its spectral coordinates."""
-
-    columns: list[str]
-    landmarks: np.ndarray
-    gamma: float
-    root: np.ndarray          # landmark kernel to the power -1/2
-    feature_sum: np.ndarray   # sum of kernel features over all rows
-    vectors: np.ndarray       # eigenvectors of the normalised feature Gram matrix
-    laplacian: np.ndarray     # eigenvalues of the normalised Laplacian, ascending
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        return np_affinity(x, self.landmarks, self.gamma) @ self.root
-
-    def degrees(self, z: np.ndarray) -> np.ndarray:
-        return z @ self.feature_sum
-
-    def normalised(self, x: np.ndarray) -> np.ndarray:
-        z = self.features(x)
-        d = self.degrees(z)
-        return np.where(d[:, None] > 1e-12, z / np.sqrt(np.maximum(d, 1e-12))[:, None], 0.0)
-
-
-def _summed(df: DataFrame, columns: list[str], fold) -> np.ndarray:
-    """Sum `fold(x)` (a flat array) over all rows: per task, then by position."""
-    def partial(batches):
-        total = None
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            part = fold(x[np.isfinite(x).all(axis=1)])
-            total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
-
-    rows = (df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-            .mapInPandas(partial, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect())
-    return np.array([r["value"] for r in sorted(rows, key=lambda r: r["pos"])])
-
-
-def fit_spectral(df: DataFrame, columns: Sequence[str], landmarks: int = 200, gamma: float = GAMMA,
-                 seed: int = 0) -> SpectralModel:
-    """Two scans - feature sums (degrees), then the m x m normalised Gram matrix."""
-    columns = list(columns)
-    points = pick_landmarks(df, columns, landmarks, seed)
-    values, vectors = np.linalg.eigh(np_affinity(points, points, gamma))
-    kept = values > SPECTRUM_FLOOR * values.max()
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    m = root.shape[1]
-    model = SpectralModel(columns, points, gamma, root, np.zeros(m), np.zeros((m, m)), np.zeros(m))
-    model.feature_sum = _summed(df, columns, lambda x: model.features(x).sum(axis=0))
-
-    def outer(x: np.ndarray) -> np.ndarray:
-        y = model.normalised(x)
-        return (y.T @ y).ravel()
-
-    lam, vec = np.linalg.eigh(_summed(df, columns, outer).reshape(m, m))
-    model.vectors = vec[:, ::-1] / np.sqrt(np.maximum(lam[::-1], 1e-12))
-    model.laplacian = np.maximum(1 - lam[::-1], 0.0)
-    return model
-
-
-def laplacian_gap_k(model: SpectralModel, max_k: int = 10) -> int:
-    """Largest relative drop of the Laplacian spectrum, counted from its small end."""
-    values = np.sort(model.laplacian + RIDGE)[::-1]
-    if len(values) < 3:
-        return 1
-    k = int(np.argmin(np.diff(values) / values[:-1])) + 1
-    if k > 0.9 * len(values):
-        k = len(values) - k + 1
-    return max(2, min(k, max_k))
-
-
-def spectral_embedding(df: DataFrame, model: SpectralModel, k: int) -> DataFrame:
-    """Add coordinates spectral_1..k, the eigenvectors after the trivial one."""
-    basis = model.vectors[:, 1:k + 1]
-    names = [f"spectral_{i + 1}" for i in range(basis.shape[1])]
-    schema = T.StructType([T.StructField(e, T.DoubleType()) for e in names])
-
-    @F.pandas_udf(schema)
-    def embed(cells: pd.DataFrame) -> pd.DataFrame:
-        x = cells[model.columns].to_numpy(dtype=float)
-        return pd.DataFrame(model.normalised(x) @ basis, columns=names)
-
-    cells = F.struct(*[F.col(c).cast("double").alias(c) for c in model.columns])
-    return df.withColumn("__e", embed(cells)).select(*df.columns, *[F.col(f"__e.{e}") for e in names])
-
-
-def row_degrees(df: DataFrame, model: SpectralModel) -> DataFrame:
-    """Add `degree`, the total affinity of each row to all rows."""
-    @F.pandas_udf(T.DoubleType())
-    def degree(cells: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.degrees(model.features(cells[model.columns].to_numpy(dtype=float))))
-
-    return df.withColumn("degree", degree(F.struct(*[F.col(c).cast("double").alias(c) for c in model.columns])))
-
-
-def spectral_labels(df: DataFrame, columns: Sequence[str], k: int | None = None, landmarks: int = 200,
-                    gamma: float = GAMMA, seed: int = 0) -> tuple[DataFrame, SpectralModel]:
-    """Rows with a `cluster` column from KMeans on the embedding."""
-    model = fit_spectral(df, columns, landmarks, gamma, seed)
-    k = k or laplacian_gap_k(model)
-    embedded = spectral_embedding(df, model, k).persist(StorageLevel.MEMORY_AND_DISK)
-    names = [c for c in embedded.columns if c not in df.columns]
-    labelled, _ = kmeans_labels(embedded, names, k, seed)
-    return labelled.drop(*names), model
+    sizes = graph.nodes.groupBy("component").agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "component").limit(k + 1).collect()
+    sizes = sizes[:k] if len(sizes) > 1 else []
+    marks = [F.when(F.col("component") == r["component"], F.lit(float(r["rows"]) ** -0.5)).otherwise(F.lit(0.0)) for r in sizes]
+    more = k - len(marks)
+    known = graph._spectrum
+    held = 0 if known is None or known.vectors is None else len(known.vectors.first()["y"])
+    if more and held < more:
+        known = graph._spectrum = graphs.smallest_eigenpairs(graph, more, seed)
+        held = 0 if known.vectors is None else len(known.vectors.first()["y"])
+    more = min(more, held)
+    nodes = graph.nodes
+    if more:
+        y = known.vectors.select("vertex", "y")
+        peaks = known.vectors.agg(*[F.max_by(F.col("y")[i], F.abs(F.col("y")[i])) for i in range(more)]).first()
+        nodes = nodes.join(y, "vertex", "left")
+        marks += [F.coalesce(F.col("y")[i] / F.sqrt("weight"), F.lit(0.0)) * (1.0 if p >= 0 else -1.0) for i, p in enumerate(peaks)]
+    return written(nodes.select("cell", "weight", *[m.alias(f"spectral_{i + 1}") for i, m in enumerate(marks)]), "graph-embedding")
+
+
+def spectral_embedding(df: DataFrame, graph: Graph, k: int, seed: int = 0) -> DataFrame:
+    """Add coordinates spectral_1..k, the eigenvectors after the trivial one; null for rows that miss a coordinate."""
+    return graphs.on_rows(df, graph, vertex_embedding(graph, k, seed))
+
+
+def spectral_labels(df: DataFrame, columns: Sequence[str], k: int | None = None, gamma: float = GAMMA, floor: float = FLOOR,
+                    most: int = VERTICES, seed: int = 0) -> tuple[DataFrame, Graph]:
+    """Rows with a `cluster` column from KMeans on the embedding, null for rows that miss a coordinate."""
+    graph = graphs.build(df, columns, gamma, floor, most)
+    k = k or laplacian_gap_k(graph, seed)[0]
+    embedded = vertex_embedding(graph, k, seed)
+    names = [c for c in embedded.columns if c.startswith("spectral_")]
+    if k <= 1 or not names:
+        placed = embedded.withColumn("cluster", F.lit(0))
+    else:
+        features = assemble(embedded, names).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = KMeans(k=k, seed=seed, maxIter=20, featuresCol=FEATURES, predictionCol="cluster", weightCol="weight").fit(features)
+            placed = written(model.transform(features).select("cell", "weight", "cluster"), "graph-clusters")
+        finally:
+            features.unpersist()
+    return graphs.on_rows(df, graph, placed.select("cell", "weight", "cluster")), graph

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.functions.rng import md5_uniform
-from synthframe.operators import (clustering, copula, dependence, generate, marginals, mixture, spectral)
+from synthframe.operators import (clustering, copula, dependence, generate, graph, marginals, mixture, spectral)
 from synthframe.operators.marginals import Marginal
 from synthframe.plans import sqltext as S
 from synthframe.plans.queries_prepare import KEY, MEASURES
@@ -499,30 +499,53 @@ def graph_laplacian(t):
     return spectral.laplacian_edges(edges).withColumn("value", F.round("value", 10))
 
 
-@query("spectral_degrees", "K13")
-def spectral_degrees(t):
+#: Kernel weights below this have no edge in the graph of the embeddings.
+_EMBEDDING_FLOOR = 1e-4
+
+_NEIGHBOURS = f"""(SELECT x.vec_id AS src, y.vec_id AS dst, exp(-5.0 * pow(list_distance(x.e, y.e), 2)) AS weight
+  FROM (SELECT vec_id, list_transform(embedding, lambda v: cast(v AS double)) AS e FROM embeddings) x
+  JOIN (SELECT vec_id, list_transform(embedding, lambda v: cast(v AS double)) AS e FROM embeddings) y ON x.vec_id <> y.vec_id
+  WHERE pow(list_distance(x.e, y.e), 2) <= {graph.radius_of(_EMBEDDING_FLOOR) ** 2!r})"""
+
+
+def _embedding_graph(t: Tables) -> tuple[DataFrame, graph.Graph]:
     df, names = embedding_columns(t, "vec_id")
-    return spectral.row_degrees(df, spectral.fit_spectral(df, names, 100)).select("vec_id", "degree")
+    return df, graph.build(df, names, floor=_EMBEDDING_FLOOR)
+
+
+@query("neighbour_edges", "K12", f"SELECT src, dst, round(weight, 10) AS weight FROM {_NEIGHBOURS}")
+def neighbour_edges(t):
+    """Edges of every two vectors whose kernel is not negligible."""
+    x = t.embeddings.select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("x"))
+    edges = graph.neighbour_edges(x, "vec_id", len(x.select("x").first()[0]), _EMBEDDING_FLOOR)
+    return edges.select("src", "dst", F.round("weight", 10).alias("weight"))
+
+
+@query("spectral_degrees", "K13", f"""SELECT e.vec_id, round(coalesce(sum(weight), 0), 9) AS degree
+FROM embeddings e LEFT JOIN {_NEIGHBOURS} ON src = e.vec_id GROUP BY e.vec_id""")
+def spectral_degrees(t):
+    df, made = _embedding_graph(t)
+    return graph.row_degrees(df, made).select("vec_id", F.round("degree", 9).alias("degree"))
 
 
 @query("spectral_gap_k", "K14")
 def spectral_gap_k(t):
-    df, names = embedding_columns(t)
-    model = spectral.fit_spectral(df, names, 100)
-    return t.spark.createDataFrame([(spectral.laplacian_gap_k(model), len(model.laplacian))], "k int, landmarks int")
+    _, made = _embedding_graph(t)
+    k, certain = graph.eigen_gap(made)
+    return t.spark.createDataFrame([(k, certain)], "k int, certain boolean")
 
 
 @query("spectral_embedding", "K15")
 def spectral_embedding(t):
-    df, names = embedding_columns(t, "vec_id")
-    made = spectral.spectral_embedding(df, spectral.fit_spectral(df, names, 100), 4)
-    return made.select("vec_id", *[f"spectral_{i}" for i in range(1, 5)])
+    df, made = _embedding_graph(t)
+    found = spectral.spectral_embedding(df, made, 4)
+    return found.select("vec_id", *[c for c in found.columns if c.startswith("spectral_")])
 
 
 @query("spectral_labels", "K16 K12")
 def spectral_labels(t):
     df, names = embedding_columns(t, "vec_id")
-    labelled, _ = spectral.spectral_labels(df, names, 4, landmarks=100)
+    labelled, _ = spectral.spectral_labels(df, names, 4, floor=_EMBEDDING_FLOOR)
     return labelled.select("vec_id", "cluster")
 
 

@@ -26,7 +26,7 @@ from synthframe.operators import clustering, copula, dependence, encode, generat
 from synthframe.operators import profile as prof
 from synthframe.operators.marginals import Marginal, fit_marginals
 from synthframe.operators.mixture import JointMixture, fit_mixtures
-from synthframe.operators.spectral import spectral_labels
+from synthframe.operators.spectral import VERTICES, spectral_labels
 from synthframe.operators.timing import FITTING, StageTimer
 from synthframe.session import checkpoint, tune
 
@@ -145,7 +145,7 @@ class Synthesizer:
     max_k: int = 10
     max_components: int = 19
     joint_components: int = 8
-    landmarks: int = 200
+    vertices: int = VERTICES
     use_covariance: bool = False
 
     def __post_init__(self) -> None:
@@ -290,7 +290,7 @@ class Synthesizer:
     def _fit_spectral_copula(self, table: DataFrame, columns: list[str]) -> generate.Draws:
         marginals, scores = self._parametric_scores(table, columns)
         try:
-            labelled, _ = spectral_labels(scores, columns, self.k, self.landmarks, seed=self.seed)
+            labelled, _ = spectral_labels(scores, columns, self.k, most=self.vertices, seed=self.seed)
             return self._clustered(labelled, columns, marginals)
         finally:
             scores.unpersist()
@@ -299,7 +299,7 @@ class Synthesizer:
         """Up to three components inside each spectral cluster, weighted by its size."""
         marginals, scores = self._parametric_scores(table, columns)
         try:
-            labelled, _ = spectral_labels(scores, columns, self.k, self.landmarks, seed=self.seed)
+            labelled, _ = spectral_labels(scores, columns, self.k, most=self.vertices, seed=self.seed)
             labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
             sizes = {r["cluster"]: r["n"] for r in clustering.cluster_sizes(labelled).collect()}
             fitted = clustering.cluster_mixtures(labelled, columns)

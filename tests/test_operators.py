@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from synthframe.functions.rng import hash_uniform
 from synthframe.functions.special import with_norm_ppf
 from synthframe.operators import (clustering, copula, dependence, encode, generate, marginals, missing, mixture, profile,
-                                  project, quality, spectral, utility)
+                                  project, quality, utility)
 from synthframe.operators.marginals import Marginal
 
 
@@ -151,24 +151,6 @@ def test_cluster_counts_and_joint_mixture_on_blobs(spark):
     assert len(inner) == 3 and all(m.k <= 2 for m in inner.values())
 
 
-def test_spectral_separates_two_rings(spark):
-    angle = hash_uniform(F.col("id"), "angle", 1) * (2 * np.pi)
-    radius = F.when(F.col("id") % 2 == 0, 1.0).otherwise(3.0) + hash_uniform(F.col("id"), "noise", 1) * 0.1
-    df = spark.range(800).select("id", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y")).cache()
-    labelled, model = spectral.spectral_labels(df, ["x", "y"], 2, landmarks=150, gamma=5.0)
-    rows = labelled.groupBy((F.col("id") % 2).alias("ring"), "cluster").count().collect()
-    assert len(rows) == 2 and model.laplacian[0] < 1e-6
-
-
-def test_landmark_degrees_are_exact_when_every_row_is_a_landmark(spark):
-    df = blobs(spark, 90)
-    model = spectral.fit_spectral(df, ["a", "b"], landmarks=90, gamma=0.5)
-    x = df.toPandas()[["a", "b"]].to_numpy()
-    dense = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1)).sum(1)
-    got = np.array([r.degree for r in spectral.row_degrees(df, model).orderBy("id").collect()])
-    np.testing.assert_allclose(got, dense, rtol=1e-4)
-
-
 def test_native_and_arrow_generation_agree(spark):
     models = {"a": Marginal("a", "norm", 0, 0, mean=5.0, sd=2.0), "b": Marginal("b", "uniform", -1.0, 4.0),
               "c": Marginal("c", "expon", 1.0, 9.0, mean=3.0),
