@@ -24,6 +24,9 @@ from synthframe.operators.clustering import FEATURES, assemble
 from synthframe.operators.graph import FLOOR, GAMMA, RIDGE, VERTICES, Graph, laplacian_edges, row_degrees  # noqa: F401
 from synthframe.session import written
 
+#: KMeans runs from different starts, of which the cheapest counts: single vertices far out trap some.
+STARTS = 4
+
 
 def affinity(x: Sequence[Column], y: Sequence[Column], gamma: float = GAMMA) -> Column:
     """Gaussian kernel exp(-gamma |x - y|^2) of two points given as columns."""
@@ -99,7 +102,8 @@ def spectral_labels(df: DataFrame, columns: Sequence[str], k: int | None = None,
     else:
         features = assemble(embedded, names).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            model = KMeans(k=k, seed=seed, maxIter=20, featuresCol=FEATURES, predictionCol="cluster", weightCol="weight").fit(features)
+            tries = [KMeans(k=k, seed=seed + i, maxIter=20, featuresCol=FEATURES, predictionCol="cluster", weightCol="weight").fit(features) for i in range(STARTS)]
+            model = min(tries, key=lambda m: m.summary.trainingCost)
             placed = written(model.transform(features).select("cell", "weight", "cluster"), "graph-clusters")
         finally:
             features.unpersist()
