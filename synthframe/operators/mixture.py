@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.functions import special
+from synthframe.functions.frames import long_form, spread
 from synthframe.operators.marginals import MIXTURE, Marginal
+from synthframe.session import written
 
 VARIANCE_FLOOR = 1e-6
 MAX_COMPONENTS = 19
@@ -21,12 +23,18 @@ FIT_SCHEMA = ("column string, k int, component int, weight double, mean double,
               "log_likelihood double, n bigint, bic double")
 
 
-def column_histograms(df: DataFrame, columns: Sequence[str], bins: int = 2048) -> DataFrame:
+#: Exact EM over all values stops when the mean log likelihood changes by less (a fixed value), or after so many scans.
+EXACT_TOLERANCE = 1e-3
+EXACT_SCANS = 25
+START_BINS = 2048
+
+
+def column_histograms(df: DataFrame, columns: Sequence[str], bins: int = START_BINS) -> DataFrame:
     """(column, bin, n, value, var): at most `bins` weighted points per column.
 
     Bins are cut at quantiles, so a heavy tail keeps its share of points; mean and
-    variance inside each bin are exact.  The mixture fit then costs the same however
-    long the table is.
+    variance inside each bin are exact.  The search for a start of the mixture fit then
+    costs the same however long the table is.
     """
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     steps = [i / bins for i in range(1, bins)]
@@ -90,12 +98,9 @@ def _fit_task(pdf: pd.DataFrame) -> pd.DataFrame:
                          "log_likelihood": ll, "n": n, "bic": bic})
 
 
-def mixture_candidates(df: DataFrame, columns: Sequence[str], max_components: int = MAX_COMPONENTS,
-                       bins: int = 2048, tasks: int | None = None) -> DataFrame:
-    """Every candidate mixture with its BIC, one task per (column, k).
-
-    Each task sees at most `bins` weighted points, whatever the table size.
-    """
+def mixture_starts(df: DataFrame, columns: Sequence[str], max_components: int = MAX_COMPONENTS,
+                   bins: int = START_BINS, tasks: int | None = None) -> DataFrame:
+    """Starts of the exact fit: EM over the bins of each column, one task per (column, k)."""
     hist = column_histograms(df, columns, bins)
     tasks = tasks or min(len(columns) * max_components, 4 * df.sparkSession.sparkContext.defaultParallelism)
     grid = hist.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_components))))
@@ -103,6 +108,101 @@ def mixture_candidates(df: DataFrame, columns: Sequence[str], max_components: in
             .applyInPandas(_fit_task, FIT_SCHEMA))
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): the distinct values of each column and their rows, counted before they move."""
+    cells = long_form(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def _responsibilities(x: np.ndarray, w: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shares, distances to the means, log density) of values under a mixture."""
+    gap = x[:, None] - mean
+    log_p = np.log(w) - 0.5 * np.log(2 * math.pi * var) - gap * gap / (2 * var)
+    top = log_p.max(axis=1, keepdims=True)
+    share = np.exp(log_p - top)
+    whole = share.sum(axis=1, keepdims=True)
+    return share / whole, gap, top[:, 0] + np.log(whole[:, 0])
+
+
+def _expectation(counts: DataFrame, models: dict) -> dict:
+    """Sums of one E-step of every model: mass, first and second moments about the means, log likelihood.
+
+    One scan serves all columns and sizes; a task sends one packed row per model.
+    """
+    def scan(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for column, part in pdf.groupby("column", sort=False):
+                x, n = part["value"].to_numpy(), part["n"].to_numpy(dtype=float)
+                for k, (w, mean, var) in models.get(column, {}).items():
+                    r, gap, density = _responsibilities(x, w, mean, var)
+                    r *= n[:, None]
+                    packed = np.concatenate([r.sum(0), (r * gap).sum(0), (r * gap * gap).sum(0), [(n * density).sum()]])
+                    sums[column, k] = sums.get((column, k), 0.0) + packed
+        if sums:
+            yield pd.DataFrame({"column": [c for c, _ in sums], "k": [k for _, k in sums], "sums": list(sums.values())})
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"column": [key[0]], "k": [key[1]], "sums": [np.sum(np.stack(list(pdf["sums"])), axis=0)]})
+
+    schema = "column string, k int, sums array<double>"
+    rows = counts.mapInPandas(scan, schema).groupBy("column", "k").applyInPandas(add, schema).collect()
+    return {(r["column"], r["k"]): np.array(r["sums"]) for r in rows}
+
+
+def exact_mixtures(counts: DataFrame, starts: dict, totals: dict, tolerance: float = EXACT_TOLERANCE,
+                   scans: int = EXACT_SCANS) -> dict:
+    """EM over all values from `starts` {(column, k): (weights, means, variances)}.
+
+    Returns {(column, k): (weights, means, variances, log likelihood)}; every scan
+    advances all models that still move.
+    """
+    moving, last, done = dict(starts), {}, {}
+    for scan in range(scans):
+        models: dict = {}
+        for (column, k), model in moving.items():
+            models.setdefault(column, {})[k] = model
+        for (column, k), sums in _expectation(counts, models).items():
+            w, mean, var = moving[column, k]
+            size, total, likelihood = len(w), totals[column], float(sums[-1])
+            if abs(likelihood - last.get((column, k), -math.inf)) / total < tolerance or scan == scans - 1:
+                done[column, k] = (w, mean, var, likelihood)
+                del moving[column, k]
+                continue
+            last[column, k] = likelihood
+            mass = sums[:size] + 1e-10
+            step = sums[size:2 * size] / mass
+            spread = sums[2 * size:3 * size] / mass - step * step
+            moving[column, k] = (mass / mass.sum(), mean + step, np.maximum(spread, 0.0) + VARIANCE_FLOOR)
+        if not moving:
+            break
+    return done
+
+
+def mixture_candidates(df: DataFrame, columns: Sequence[str], max_components: int = MAX_COMPONENTS,
+                       bins: int = START_BINS, tasks: int | None = None) -> DataFrame:
+    """Every candidate mixture with its exact log likelihood and BIC.
+
+    Bins only give the start; the fit itself runs over every distinct value and its count.
+    """
+    spark = df.sparkSession
+    found = {}
+    for r in mixture_starts(df, columns, max_components, bins, tasks).collect():
+        found.setdefault((r["column"], r["k"]), []).append(r)
+    starts = {key: tuple(np.array([r[c] for r in parts]) for c in ("weight", "mean", "sd")) for key, parts in found.items()}
+    starts = {key: (np.maximum(w, 1e-300), m, s * s) for key, (w, m, s) in starts.items()}
+    totals = {column: parts[0]["n"] for (column, _), parts in found.items()}
+    rows = []
+    if starts:
+        counts = spread(written(value_counts(df, columns), "mixture-values"))
+        for (column, k), (w, mean, var, likelihood) in exact_mixtures(counts, starts, totals).items():
+            n, size = totals[column], len(w)
+            bic = -2 * likelihood + (3 * size - 1) * math.log(n)
+            rows += [(column, k, i, float(w[j]), float(mean[j]), float(math.sqrt(var[j])), likelihood, n, bic)
+                     for i, j in enumerate(np.argsort(mean, kind="stable"))]
+    return spark.createDataFrame(rows, FIT_SCHEMA)
+
+
 def best_mixtures(candidates: DataFrame) -> DataFrame:
     """Components of the candidate with the lowest BIC per column."""
     best = candidates.groupBy("column").agg(F.min_by("k", F.struct("bic", "k")).alias("k"))
@@ -110,7 +210,7 @@ def best_mixtures(candidates: DataFrame) -> DataFrame:
 
 
 def fit_mixtures(df: DataFrame, columns: Sequence[str], max_components: int = MAX_COMPONENTS,
-                 bins: int = 2048) -> dict[str, Marginal]:
+                 bins: int = START_BINS) -> dict[str, Marginal]:
     """Mixture marginal per column, collected (at most 19 rows a column)."""
     from synthframe.operators.profile import column_ranges
     ranges = column_ranges(df, list(columns))

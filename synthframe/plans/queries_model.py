@@ -141,7 +141,7 @@ def mixture_candidates(t):
 
 @query("mixture_fit", "D1 D2 D12")
 def mixture_fit(t):
-    fitted = mixture.fit_mixtures(t.lineitem, _LOCAL, max_components=8)
+    fitted = mixture.fit_mixtures(t.lineitem, _LOCAL)
     return t.spark.createDataFrame(mixture.mixture_rows(fitted), "column string, component int, weight double, mean double, sd double")
 
 

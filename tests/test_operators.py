@@ -213,3 +213,37 @@ def test_auc_of_a_missing_class_and_empty_scores(spark):
     assert rows == {"a": 1.0, "z": None}
     gone = df.withColumn("s", F.lit(None).cast("double"))
     assert quality.ks_complement(df, gone, ["s"]).first()["score"] is None
+
+
+def test_exact_mixture_fit_equals_plain_em_over_the_rows(spark):
+    """Every scan is one EM step over all rows; copies count by their number."""
+    rng = np.random.default_rng(6)
+    x = np.round(np.concatenate([rng.normal(0, 1, 700), rng.normal(6, 2, 900), np.full(300, 2.5)]), 2)
+    df = spark.createDataFrame([(float(v), float(v) * 3) for v in x] + [(None, float("nan"))], "a double, b double")
+    start = (np.array([0.5, 0.3, 0.2]), np.array([-1.0, 2.0, 7.0]), np.array([1.0, 2.0, 3.0]))
+    starts = {("a", 3): start, ("a", 1): tuple(v[:1] * 0 + 1 for v in start), ("b", 3): start}
+    done = mixture.exact_mixtures(mixture.value_counts(df, ["a", "b"]), starts, {"a": len(x), "b": len(x)}, tolerance=0.0, scans=12)
+    for (column, k), (w, mean, var, likelihood) in done.items():
+        v = x if column == "a" else x * 3
+        pw, pm, pv = starts[column, k]
+        for step in range(12):
+            density = pw * np.exp(-(v[:, None] - pm) ** 2 / (2 * pv)) / np.sqrt(2 * np.pi * pv)
+            plain = np.log(density.sum(1)).sum()
+            if step < 11:
+                r = density / density.sum(1, keepdims=True)
+                mass = r.sum(0)
+                pw, pm = mass / len(v), (r * v[:, None]).sum(0) / mass
+                pv = (r * (v[:, None] - pm) ** 2).sum(0) / mass + mixture.VARIANCE_FLOOR
+        np.testing.assert_allclose(likelihood, plain, rtol=1e-9)
+        np.testing.assert_allclose(np.concatenate([w, mean, var]), np.concatenate([pw, pm, pv]), rtol=1e-6)
+    assert len(done) == 3
+
+
+def test_mixture_candidates_report_the_likelihood_of_all_rows(spark):
+    z = with_norm_ppf(spark.range(3000), {"z": hash_uniform(F.col("id"), "x")})
+    df = z.select((F.when(F.col("id") % 3 == 0, 10.0).otherwise(0.0) + F.col("z")).alias("x"))
+    best = [r for r in mixture.mixture_candidates(df, ["x"], 4).collect() if r["k"] == 2]
+    v = df.toPandas()["x"].to_numpy()
+    density = sum(r["weight"] * np.exp(-((v - r["mean"]) / r["sd"]) ** 2 / 2) / r["sd"] / np.sqrt(2 * np.pi) for r in best)
+    np.testing.assert_allclose(best[0]["log_likelihood"], np.log(density).sum(), rtol=1e-9)
+    assert best[0]["n"] == 3000 and abs(best[1]["mean"] - 10) < 0.2
