@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from synthframe.functions.frames import long_form, numeric_columns, string_columns
 from synthframe.functions.quantiles import exact_quantiles
@@ -29,6 +30,31 @@ def both_sources(real: DataFrame, synthetic: DataFrame, columns: Sequence[str],
             .agg(F.sum("r").alias("real"), F.sum("s").alias("synthetic")))
 
 
+def comparable(real: DataFrame, synthetic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with dates and timestamps of the real one as seconds since 1970 and its booleans as text.
+
+    Dates are then scored as numbers, booleans as categories; other columns stay.
+    """
+    types = {f.name: f.dataType for f in real.schema}
+
+    def side(df: DataFrame) -> DataFrame:
+        out = []
+        for f in df.schema:
+            c, kind = F.col(f"`{f.name}`"), types.get(f.name)
+            if isinstance(kind, T.DateType):
+                c = F.unix_date(c.cast("date")) * 86400.0
+            elif isinstance(kind, T.TimestampNTZType):
+                c = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / 1e6
+            elif isinstance(kind, T.TimestampType):
+                c = c.cast("timestamp").cast("double")
+            elif isinstance(kind, T.BooleanType):
+                c = c.cast("string")
+            out.append(c.alias(f.name))
+        return df.select(*out)
+
+    return side(real), side(synthetic)
+
+
 def boundary_adherence(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Q1: share of synthetic values inside the real range; null counts as outside."""
     ranges = column_ranges(real, list(columns))
@@ -102,7 +128,8 @@ def tv_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str])
 
 def column_shapes(real: DataFrame, synthetic: DataFrame, numeric: Sequence[str] | None = None,
                   categories: Sequence[str] | None = None) -> DataFrame:
-    """Q6: (column, metric, score) of every column."""
+    """Q6: (column, metric, score) of every column; dates count as numbers, booleans as categories."""
+    real, synthetic = comparable(real, synthetic)
     numeric = numeric_columns(real) if numeric is None else numeric
     categories = string_columns(real) if categories is None else categories
     parts = []
@@ -110,6 +137,8 @@ def column_shapes(real: DataFrame, synthetic: DataFrame, numeric: Sequence[str]
         parts.append(ks_complement(real, synthetic, numeric).withColumn("metric", F.lit("ks_complement")))
     if categories:
         parts.append(tv_complement(real, synthetic, categories).withColumn("metric", F.lit("tv_complement")))
+    if not parts:
+        return real.sparkSession.createDataFrame([], "column string, metric string, score double")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select("column", "metric", "score")
 
@@ -157,7 +186,8 @@ def contingency_similarity(real: DataFrame, synthetic: DataFrame, pairs: Sequenc
 
 def pair_trends(real: DataFrame, synthetic: DataFrame, numeric: Sequence[str] | None = None,
                 categories: Sequence[str] | None = None) -> DataFrame:
-    """Q7: (col_i, col_j, metric, score) of every pair of columns."""
+    """Q7: (col_i, col_j, metric, score) of every pair of columns; dates count as numbers, booleans as categories."""
+    real, synthetic = comparable(real, synthetic)
     numeric = numeric_columns(real) if numeric is None else list(numeric)
     categories = string_columns(real) if categories is None else list(categories)
     parts = []

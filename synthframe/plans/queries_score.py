@@ -181,16 +181,16 @@ def stats_compare(t):
     return made.select("column", "statistic", *[F.round(c, 4).alias(c) for c in ("real", "synthetic")])
 
 
-def _ks2_sql() -> str:
-    cells = _per_column(NUMERIC, "SELECT '{c}' AS \"column\", cast({c} as double) AS value, 1 AS r, 0 AS s FROM " + REAL + " UNION ALL SELECT '{c}', {c}, 0, 1 FROM " + SYNTHETIC)
+def _ks2_sql(columns=NUMERIC, real: str = REAL, synthetic: str = SYNTHETIC) -> str:
+    cells = _per_column(columns, "SELECT '{c}' AS \"column\", cast({c} as double) AS value, 1 AS r, 0 AS s FROM " + real + " UNION ALL SELECT '{c}', {c}, 0, 1 FROM " + synthetic)
     return f"""SELECT "column", 'ks_complement' AS metric, 1 - max(abs(cr / cast(nr as double) - cs / cast(ns as double))) AS score FROM (
   SELECT "column", sum(r) OVER w AS cr, sum(s) OVER w AS cs, sum(r) OVER p AS nr, sum(s) OVER p AS ns
   FROM (SELECT "column", value, sum(r) AS r, sum(s) AS s FROM ({cells}) WHERE value IS NOT NULL GROUP BY 1, 2)
   WINDOW w AS (PARTITION BY "column" ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY "column")) GROUP BY 1"""
 
 
-def _tv_sql() -> str:
-    cells = _per_column(CATEGORIES, "SELECT '{c}' AS \"column\", {c} AS value, 1 AS r, 0 AS s FROM " + REAL + " UNION ALL SELECT '{c}', {c}, 0, 1 FROM " + SYNTHETIC)
+def _tv_sql(columns=CATEGORIES, real: str = REAL, synthetic: str = SYNTHETIC) -> str:
+    cells = _per_column(columns, "SELECT '{c}' AS \"column\", {c} AS value, 1 AS r, 0 AS s FROM " + real + " UNION ALL SELECT '{c}', {c}, 0, 1 FROM " + synthetic)
     return f"""SELECT "column", 'tv_complement' AS metric, 1 - sum(abs(r / cast(nr as double) - s / cast(ns as double))) / 2 AS score FROM (
   SELECT "column", r, s, sum(r) OVER p AS nr, sum(s) OVER p AS ns FROM (SELECT "column", value, sum(r) AS r, sum(s) AS s
     FROM ({cells}) WHERE value IS NOT NULL GROUP BY 1, 2) WINDOW p AS (PARTITION BY "column")) GROUP BY 1"""
@@ -204,6 +204,53 @@ def column_shapes(t):
     return quality.column_shapes(real_orders(t), synthetic_orders(t), NUMERIC, CATEGORIES).withColumn("score", F.round("score", 8))
 
 
+def _dated(t, later, doubt) -> DataFrame:
+    """Orders with a date and a boolean, moved by `later` days and turned where `doubt` holds."""
+    large = F.col("o_totalprice") > 100000
+    return t.orders.select("o_totalprice", (F.col("o_orderdate") + F.make_interval(days=later)).alias("o_orderdate"),
+                           F.when(doubt, ~large).otherwise(large).alias("large"))
+
+
+def _dated_tables(t) -> tuple[DataFrame, DataFrame]:
+    key = F.col("o_orderkey")
+    moved = F.floor(200 * md5_uniform(key, "day")).cast("int")
+    return _dated(t, F.lit(0), F.lit(False)), _dated(t, moved, md5_uniform(key, "large") < 0.3)
+
+
+_LARGE = "CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END"
+_DATED_REAL = f"(SELECT o_totalprice, epoch(o_orderdate) AS o_orderdate, {_LARGE} AS large FROM orders)"
+_DATED_SYNTHETIC = f"""(SELECT o_totalprice, epoch(o_orderdate) + 86400 * floor(200 * {S.md5_uniform('o_orderkey', 'day')}) AS o_orderdate,
+  CASE WHEN {S.md5_uniform('o_orderkey', 'large')} < 0.3 THEN CASE WHEN o_totalprice > 100000 THEN 'false' ELSE 'true' END ELSE {_LARGE} END AS large FROM orders)"""
+_DATED_NUMBERS = ["o_totalprice", "o_orderdate"]
+
+
+@query("date_boolean_shapes", "Q6", f"""SELECT "column", metric, round(score, 8) AS score
+FROM ({_ks2_sql(_DATED_NUMBERS, _DATED_REAL, _DATED_SYNTHETIC)} UNION ALL {_tv_sql(["large"], _DATED_REAL, _DATED_SYNTHETIC)})""")
+def date_boolean_shapes(t):
+    """Column shapes of dates and booleans, found by their types."""
+    return quality.column_shapes(*_dated_tables(t)).withColumn("score", F.round("score", 8))
+
+
+def _dated_pairs_sql() -> str:
+    def cells(c: str, table: str, r: int, s: int) -> str:
+        lo, hi = f"(SELECT min({c}) FROM {_DATED_REAL})", f"(SELECT max({c}) FROM {_DATED_REAL})"
+        return f"""SELECT '{c}' AS col_i, cast(least(greatest(floor(({c} - {lo}) / cast({hi} - {lo} as double) * 10), 0), 9) as varchar) AS a, large AS b,
+  {r} AS r, {s} AS s FROM {table}"""
+
+    both = " UNION ALL ".join(cells(c, table, r, s) for c in _DATED_NUMBERS for table, r, s in ((_DATED_REAL, 1, 0), (_DATED_SYNTHETIC, 0, 1)))
+    return f"""SELECT 'o_totalprice' AS col_i, 'o_orderdate' AS col_j, 'correlation_similarity' AS metric, round(1 - abs((SELECT corr(o_totalprice, o_orderdate) FROM {_DATED_REAL})
+  - (SELECT corr(o_totalprice, o_orderdate) FROM {_DATED_SYNTHETIC})) / 2, 8) AS score
+UNION ALL SELECT col_i, 'large', 'contingency_similarity', round(1 - sum(abs(r / cast(nr as double) - s / cast(ns as double))) / 2, 8) FROM (
+  SELECT col_i, r, s, sum(r) OVER p AS nr, sum(s) OVER p AS ns FROM (SELECT col_i, a, b, sum(r) AS r, sum(s) AS s FROM ({both}) GROUP BY ALL)
+  WINDOW p AS (PARTITION BY col_i)) GROUP BY 1, 2"""
+
+
+@query("date_boolean_trends", "Q7", _dated_pairs_sql())
+def date_boolean_trends(t):
+    """Pair trends with dates and booleans, found by their types."""
+    return quality.pair_trends(*_dated_tables(t)).withColumn("score", F.round("score", 8))
+
+
 def _pairs_sql() -> str:
     corr = f"""SELECT 'o_totalprice' AS col_i, 'o_custkey' AS col_j, 'correlation_similarity' AS metric, 1 - abs((SELECT corr(o_totalprice, o_custkey) FROM {REAL})
   - (SELECT corr(o_totalprice, o_custkey) FROM {SYNTHETIC})) / 2 AS score"""

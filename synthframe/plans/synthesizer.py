@@ -14,7 +14,7 @@ Presets:
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -52,6 +52,7 @@ class FittedModel:
     date_formats: dict[str, str] = field(default_factory=dict)
     timer: StageTimer = field(default_factory=StageTimer)
     absent: list[str] = field(default_factory=list)  # columns without any value; null in every drawn row
+    given: list[str] = field(default_factory=list)   # the table's own names, where they are not plain ones
 
     def _role(self, *roles: str) -> list[prof.ColumnProfile]:
         return [p for p in self.profiles if p.role in roles]
@@ -65,7 +66,8 @@ class FittedModel:
         seed = self.seed if seed is None else seed
         raw = generate.draw_rows(spark, self.draws, num_rows, seed, exact=self.draws.marginals is not None)
         raw = project.clip(raw, self.ranges)
-        return self._finish(raw, num_rows, seed, keep_row_id)
+        out = self._finish(raw, num_rows, seed, keep_row_id)
+        return out.toDF(*(["row_id"] if keep_row_id else []), *self.given) if self.given else out
 
     def _finish(self, raw: DataFrame, num_rows: int, seed: int, keep_row_id: bool) -> DataFrame:
         """Decode categories and dates, make ids, re-apply missing values, restore types."""
@@ -107,7 +109,7 @@ class FittedModel:
         marginals = None if d.marginals is None else [
             [list(k) if isinstance(k, tuple) else k, asdict(m)] for k, m in d.marginals.items()]
         body = {"preset": self.preset, "seed": self.seed, "columns": self.columns, "dtypes": self.dtypes,
-                "profiles": [asdict(p) for p in self.profiles], "ranges": self.ranges, "missing": self.missing, "absent": self.absent,
+                "profiles": [asdict(p) for p in self.profiles], "ranges": self.ranges, "missing": self.missing, "absent": self.absent, "given": self.given,
                 "draws": {"columns": d.columns, "labels": [int(g) for g in d.labels],
                           "counts": [float(c) for c in d.counts], "means": np.asarray(d.means).tolist(),
                           "factors": np.asarray(d.factors).tolist(), "marginals": marginals, "local": d.local}}
@@ -126,7 +128,18 @@ class FittedModel:
         return FittedModel(body["preset"], body["seed"], body["columns"], body["dtypes"],
                            [prof.ColumnProfile(**p) for p in body["profiles"]], draws,
                            {c: tuple(r) for c, r in body["ranges"].items()}, body["missing"],
-                           spark.read.parquet(f"{path}/intervals"), absent=body.get("absent", []))
+                           spark.read.parquet(f"{path}/intervals"), absent=body.get("absent", []), given=body.get("given", []))
+
+
+def plain_names(names: list[str]) -> list[str]:
+    """The names with dots and backticks, which Spark reads as syntax, replaced; all different."""
+    out: list[str] = []
+    for name in names:
+        new = name.replace(".", "_").replace("`", "_")
+        while new != name and (new in names or new in out):
+            new += "_"
+        out.append(new)
+    return out
 
 
 @dataclass
@@ -189,6 +202,11 @@ class Synthesizer:
 
     def fit(self, df: DataFrame) -> FittedModel:
         tune(df.sparkSession)
+        plain = plain_names(df.columns)
+        if plain != df.columns:
+            same = dict(zip(df.columns, plain, strict=True))
+            model = replace(self, row_id=same.get(self.row_id)).fit(df.toDF(*plain))
+            return replace(model, given=list(df.columns))
         timer = StageTimer()
         names, types = list(df.columns), dict(df.dtypes)
         with timer.stage("profile", FITTING):

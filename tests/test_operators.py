@@ -247,3 +247,17 @@ def test_mixture_candidates_report_the_likelihood_of_all_rows(spark):
     density = sum(r["weight"] * np.exp(-((v - r["mean"]) / r["sd"]) ** 2 / 2) / r["sd"] / np.sqrt(2 * np.pi) for r in best)
     np.testing.assert_allclose(best[0]["log_likelihood"], np.log(density).sum(), rtol=1e-9)
     assert best[0]["n"] == 3000 and abs(best[1]["mean"] - 10) < 0.2
+
+
+def test_quality_report_scores_dates_and_booleans(spark):
+    df = spark.range(400).select(
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("day"),
+        (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("local"),
+        (F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 70).cast("int"))).alias("instant"),
+        (F.col("id") % 3 == 0).alias("flag"))
+    assert {r.column: (r.metric, r.score) for r in quality.column_shapes(df, df).collect()} == {
+        "day": ("ks_complement", 1.0), "local": ("ks_complement", 1.0), "instant": ("ks_complement", 1.0), "flag": ("tv_complement", 1.0)}
+    assert quality.pair_trends(df, df).count() == 6
+    moved = df.withColumn("day", F.date_add("day", 45)).withColumn("flag", F.lit(True))
+    shapes = {r.column: r.score for r in quality.column_shapes(df, moved).collect()}
+    assert shapes["day"] < 0.55 and shapes["flag"] == pytest.approx(134 / 400) and shapes["local"] == 1.0

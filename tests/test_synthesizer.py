@@ -90,3 +90,16 @@ def test_density_of_a_constant_or_empty_column(spark):
     flat = kernel_density(spark.range(50).select(F.lit(2.0).alias("v")), "v", points=11).collect()
     assert len(flat) == 11 and abs(flat[0]["density"] - 0.3989422804) < 1e-9
     assert kernel_density(spark.createDataFrame([(None,), (float("nan"),)], "v double"), "v").count() == 0
+
+
+def test_names_with_dots_and_backticks(spark, orders, tmp_path):
+    from pyspark.sql import functions as F
+    names = ["key.id", "price.usd", "price_usd", "st`at.us"]
+    df = orders.select("o_orderkey", "o_totalprice", (F.col("o_totalprice") / 2).alias("half"), "o_orderstatus").toDF(*names)
+    model = Synthesizer("elbow_copula", row_id="key.id", k=2).fit(df)
+    made = model.sample(spark, 200)
+    assert made.columns == names and [t for _, t in made.dtypes] == [t for _, t in df.dtypes]
+    model.save(str(tmp_path / "model"))
+    again = FittedModel.load(spark, str(tmp_path / "model")).sample(spark, 200, keep_row_id=True)
+    assert again.columns == ["row_id", *names]
+    assert sorted(map(str, again.drop("row_id").collect())) == sorted(map(str, made.collect()))
