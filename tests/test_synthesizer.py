@@ -15,7 +15,7 @@ def table(spark, orders):
 
 @pytest.mark.parametrize("preset", [p for p in PRESETS if p not in ("silhouette_copula", "spectral_copula")])
 def test_preset_makes_a_table_of_the_same_shape(spark, table, preset):
-    model = Synthesizer(preset, row_id="o_orderkey", k=2, max_components=4, landmarks=60).fit(table)
+    model = Synthesizer(preset, row_id="o_orderkey", k=2, max_components=4, vertices=400).fit(table)
     made = model.sample(spark, 1500).cache()
     assert made.dtypes == table.dtypes and made.count() == 1500
     assert made.filter(F.col("o_totalprice") > 0).count() > 1000  # a filter on a generated column
