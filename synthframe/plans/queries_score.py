@@ -55,7 +55,7 @@ def _preset_query(name: str, preset: str, ids: str, **options) -> None:
         return model.sample(t.spark, n)
 
 
-_preset_query("synth_mixture_copula", "mixture_copula", "G1 G2 G11 D2 C1 C8 S2", max_components=8)
+_preset_query("synth_mixture_copula", "mixture_copula", "G1 G2 G11 D2 C1 C8 S2")
 _preset_query("synth_joint_mixture", "joint_mixture", "G8 D3 G11", joint_components=3)
 _preset_query("synth_parametric_copula", "parametric_copula", "G3 K3 K4 G11")
 _preset_query("synth_elbow_copula", "elbow_copula", "G4 K6 V2 G11", max_k=5)
