@@ -12,6 +12,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +101,11 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], cluster: str) -> float
     The rows are reduced to one per cluster in Spark; the driver compares those.
     """
     rows = [r for r in cluster_spread(df, columns, cluster).collect() if r[cluster] is not None]
-    centre = np.array([[r[f"centre_{c}"] for c in columns] for r in rows])
-    spread = np.array([r["spread"] for r in rows])
-    if len(rows) < 2:
+    return _mean_worst_ratio(np.array([[r[f"centre_{c}"] for c in columns] for r in rows]), np.array([r["spread"] for r in rows]))
+
+
+def _mean_worst_ratio(centre: np.ndarray, spread: np.ndarray) -> float:
+    if len(spread) < 2:
         return 0.0
     apart = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(-1))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -117,23 +120,21 @@ def davies_bouldin_path(df: DataFrame, columns: Sequence[str], ks: Sequence[int]
 
 
 def _model_davies_bouldin(model: KMeansModel, features: DataFrame) -> float:
-    names = [f"x{i}" for i in range(len(model.clusterCenters()[0]))]
-    arr = vector_to_array(F.col(FEATURES))
-    rows = model.transform(features).select("cluster", *[arr[i].alias(n) for i, n in enumerate(names)])
-    return davies_bouldin(rows, names, "cluster")
+    labelled = model.transform(features).select("cluster", FEATURES)
+    means = labelled.groupBy("cluster").agg(Summarizer.mean(F.col(FEATURES)).alias("centre"))
+    own = F.zip_with(vector_to_array(FEATURES), vector_to_array("centre"), lambda x, y: (x - y) * (x - y))
+    distance = F.sqrt(F.aggregate(own, F.lit(0.0), lambda total, x: total + x))
+    rows = (labelled.join(F.broadcast(means), "cluster")  # one row per cluster
+            .groupBy("cluster").agg(F.first("centre").alias("centre"), F.avg(distance).alias("spread")).collect())
+    return _mean_worst_ratio(np.array([r["centre"].toArray() for r in rows]), np.array([r["spread"] for r in rows]))
 
 
 def gap_statistic(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(1, 11), references: int = 3,
-                  seed: int = 0, reference_rows: int = 20_000) -> dict[int, float]:
-    """K9: mean log inertia of uniform reference tables minus that of the data.
-
-    Inertia is taken per row, so the reference tables need not be as long as the
-    data; every data row is used.
-    """
+                  seed: int = 0) -> dict[int, float]:
+    """K9: mean log inertia of uniform reference tables, as long as the data, minus that of the data."""
     from synthframe.operators.profile import column_ranges
     n = df.count()
     ranges = column_ranges(df, list(columns))
-    rows = min(n, reference_rows)
     log_w = lambda cost, size: math.log(max(cost / size, 1e-300))
 
     def costs(table: DataFrame) -> dict[int, float]:
@@ -145,11 +146,11 @@ def gap_statistic(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = ran
 
     expected = {k: 0.0 for k in ks}
     for b in range(references):
-        table = df.sparkSession.range(rows).select(
+        table = df.sparkSession.range(n).select(
             *[(F.lit(ranges[c][0]) + F.lit(ranges[c][1] - ranges[c][0])
                * hash_uniform(F.col("id"), f"gap:{b}:{c}", seed)).alias(c) for c in columns])
         for k, cost in costs(table).items():
-            expected[k] += log_w(cost, rows) / references
+            expected[k] += log_w(cost, n) / references
     own = costs(df)
     return {k: expected[k] - log_w(own[k], n) for k in ks}
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,11 +297,13 @@ def log_densities(x: np.ndarray, model: JointMixture) -> np.ndarray:
     return out
 
 
-STATISTICS = "model int, component int, pos int, value double"
+STATISTICS = "model int, lane int, sums array<double>"
+#: Executor cores that share one lane of the first merging level, and the most lanes there are.
+CORES_PER_LANE, MOST_LANES = 16, 64
 
 
 class Expectation:
-    """One E-step folded over batches: sums of r, r*x and r*x*x' per model and component."""
+    """One E-step folded over batches: sums of r, r*x and r*x*x' per component, and the log likelihood, packed per model."""
 
     def __init__(self, models: dict[int, JointMixture], columns: Sequence[str]):
         self.models, self.columns, self.totals = models, list(columns), {}
@@ -317,28 +320,40 @@ class Expectation:
             r = np.exp(lp - norm[:, None])
             outer = np.stack([(x * r[:, j:j + 1]).T @ x for j in range(model.k)]).reshape(model.k, -1)
             stats = np.concatenate([r.sum(axis=0)[:, None], r.T @ x, outer], axis=1)
-            before = self.totals.get(key, (0.0, 0.0))
-            self.totals[key] = (before[0] + stats, before[1] + float(norm.sum()))
+            self.totals[key] = self.totals.get(key, 0.0) + np.append(stats.ravel(), norm.sum())
 
-    def frames(self):
-        for key, (stats, ll) in self.totals.items():
-            k, width = stats.shape
-            yield pd.DataFrame({"model": key, "component": np.repeat(np.arange(k), width),
-                                "pos": np.tile(np.arange(width), k), "value": stats.ravel()})
-            yield pd.DataFrame({"model": [key], "component": [-1], "pos": [0], "value": [ll]})
 
+def _merged(batches):
+    """The packed sums of each model over a partition, added as they arrive: memory holds one row a model."""
+    totals: dict = {}
+    for pdf in batches:
+        for key, lane, sums in zip(pdf["model"], pdf["lane"], pdf["sums"], strict=True):
+            before = totals.get(key, (lane, 0.0))[1]
+            totals[key] = (lane, before + np.asarray(sums, dtype=float))
+    for key, (lane, sums) in totals.items():
+        yield pd.DataFrame({"model": [key], "lane": [lane], "sums": [sums]})
 
-def maximise(sums, active: dict[int, JointMixture], done: dict[int, JointMixture], tol: float) -> None:
-    """M-step from collected statistics; converged models move from `active` to `done`."""
-    table = {(r["model"], r["component"], r["pos"]): r["value"] for r in sums}
+
+def summed_statistics(rows: DataFrame, lanes: int, models: int) -> dict[int, np.ndarray]:
+    """Packed sums per model, merged in levels: tasks into lanes, lanes into one row a model.
+
+    However many tasks there were, the driver receives one row a model.
+    """
+    if lanes > 1:
+        rows = rows.repartition(lanes, "lane").mapInPandas(_merged, STATISTICS)
+    rows = rows.repartition(min(models, MOST_LANES), "model").mapInPandas(_merged, STATISTICS)
+    return {r["model"]: np.array(r["sums"]) for r in rows.collect()}
+
+
+def maximise(sums: dict[int, np.ndarray], active: dict[int, JointMixture], done: dict[int, JointMixture], tol: float) -> None:
+    """M-step from merged statistics; converged models move from `active` to `done`."""
     for key, model in list(active.items()):
         d = len(model.columns)
-        stats = np.array([[table.get((key, j, p), 0.0) for p in range(1 + d + d * d)]
-                          for j in range(model.k)])
-        ll, n = table.get((key, -1, 0), 0.0), stats[:, 0].sum()
-        if n == 0:
+        if key not in sums:
             done[key] = active.pop(key)
             continue
+        stats, ll = sums[key][:-1].reshape(model.k, 1 + d + d * d), float(sums[key][-1])
+        n = stats[:, 0].sum()
         mass = stats[:, 0] + 1e-10
         means = stats[:, 1:1 + d] / mass[:, None]
         second = stats[:, 1 + d:].reshape(model.k, d, d) / mass[:, None, None]
@@ -350,16 +365,18 @@ def maximise(sums, active: dict[int, JointMixture], done: dict[int, JointMixture
 
 
 def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50, tol: float = 1e-3,
-             owner: dict[int, int] | None = None, cluster: str | None = None) -> dict[int, JointMixture]:
+             owner: dict[int, int] | None = None, cluster: str | None = None,
+             lanes: int | None = None) -> dict[int, JointMixture]:
     """K3, D3: EM from given starts; all models share one scan per iteration.
 
-    Each task folds its rows into sufficient statistics, summed by a shuffle keyed on
-    (model, component, position), so the driver receives k(1 + d + d*d) numbers per
-    model and iteration.  With `owner`, model `key` only sees the rows whose `cluster`
-    is `owner[key]`.  `df` is scanned once an iteration: persist it first.
+    Each task folds its rows into one packed row of sufficient statistics per model;
+    these are merged in levels (`lanes` of tasks, then models), so the driver receives
+    one row per model and iteration.  With `owner`, model `key` only sees the rows whose
+    `cluster` is `owner[key]`.  `df` is scanned once an iteration: persist it first.
     """
     active, done = dict(starts), {}
     columns = next(iter(starts.values())).columns
+    lanes = lanes or min(MOST_LANES, max(1, df.sparkSession.sparkContext.defaultParallelism // CORES_PER_LANE))
     keep = [F.col(cluster).cast("int").alias("__g")] if owner else []
     rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
     for _ in range(max_iter):
@@ -376,12 +393,12 @@ def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50,
                 for g, part in parts:
                     if g in folds:
                         folds[g].add(part)
+            lane = TaskContext.get().partitionId() % lanes
             for fold in folds.values():
-                yield from fold.frames()
+                for key, sums in fold.totals.items():
+                    yield pd.DataFrame({"model": [key], "lane": [lane], "sums": [sums]})
 
-        sums = (rows.mapInPandas(partial, STATISTICS)
-                .groupBy("model", "component", "pos").agg(F.sum("value").alias("value")).collect())
-        maximise(sums, active, done, tol)
+        maximise(summed_statistics(rows.mapInPandas(partial, STATISTICS), lanes, len(active)), active, done, tol)
     done.update(active)
     return done
 

@@ -135,7 +135,7 @@ def kernel_density(t):
 
 @query("mixture_candidates", "D1")
 def mixture_candidates(t):
-    made = mixture.mixture_candidates(t.lineitem, _LOCAL, max_components=8)
+    made = mixture.mixture_candidates(t.lineitem, _LOCAL)
     return made.select("column", "k", "bic").distinct().withColumn("bic", F.round("bic", 2))
 
 
@@ -148,7 +148,7 @@ def mixture_fit(t):
 @query("joint_mixture_bic", "D3 K3")
 def joint_mixture_bic(t):
     columns = ["l_quantity", "l_discount"]
-    fitted = clustering.mixtures_from_kmeans(t.lineitem, columns, [1, 2, 3], max_iter=15)
+    fitted = clustering.mixtures_from_kmeans(t.lineitem, columns, range(1, 20))
     rows = [(k, i, float(w), m.bic(), *[float(v) for v in mean]) for k, m in fitted.items()
             for i, (w, mean) in enumerate(zip(m.weights, m.means))]
     return t.spark.createDataFrame(rows, "k int, component int, weight double, bic double, mean_quantity double, mean_discount double")
@@ -226,19 +226,19 @@ def normal_scores(t):
 @query("mixture_scores", "C5 D2 C1 C4")
 def mixture_scores(t):
     df = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return copula.normal_scores(df, mixture.fit_mixtures(df, _LOCAL, max_components=8))
+    return copula.normal_scores(df, mixture.fit_mixtures(df, _LOCAL))
 
 
 @query("mixture_bounds", "C6")
 def mixture_bounds(t):
-    rows = [(c, *copula.mixture_bounds(m)) for c, m in mixture.fit_mixtures(t.lineitem, _LOCAL, max_components=6).items()]
+    rows = [(c, *copula.mixture_bounds(m)) for c, m in mixture.fit_mixtures(t.lineitem, _LOCAL).items()]
     return t.spark.createDataFrame(rows, "column string, lower double, upper double")
 
 
 @query("bound_check", "C7", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {p} AS p, -1 AS sign_lower, 1 AS sign_upper" for c in _LOCAL for p in (0.1, 0.5, 0.9)))
 def bound_check(t):
-    made = copula.bound_check(t.spark, mixture.fit_mixtures(t.lineitem, _LOCAL, max_components=6), [0.1, 0.5, 0.9])
+    made = copula.bound_check(t.spark, mixture.fit_mixtures(t.lineitem, _LOCAL), [0.1, 0.5, 0.9])
     return made.select("column", "p", "sign_lower", "sign_upper")
 
 
@@ -410,28 +410,28 @@ def _scores(t: Tables, scores: dict, chosen: int) -> DataFrame:
 @query("elbow_k", "K6")
 def elbow_k(t):
     df, names = embedding_columns(t)
-    k, costs = clustering.elbow_k(df, names, range(2, 8))
+    k, costs = clustering.elbow_k(df, names)
     return _scores(t, costs, k)
 
 
 @query("silhouette_k", "K7")
 def silhouette_k(t):
     df, names = embedding_columns(t)
-    k, scores = clustering.silhouette_k(df, names, range(2, 8))
+    k, scores = clustering.silhouette_k(df, names)
     return _scores(t, scores, k)
 
 
 @query("davies_bouldin_path", "K8")
 def davies_bouldin_path(t):
     df, names = embedding_columns(t)
-    scores = clustering.davies_bouldin_path(df, names, range(2, 6))
+    scores = clustering.davies_bouldin_path(df, names, range(2, 11))
     return _scores(t, scores, min(scores, key=scores.get))
 
 
 @query("gap_statistic", "K9")
 def gap_statistic(t):
     df, names = embedding_columns(t)
-    scores = clustering.gap_statistic(df, names, range(1, 5), references=2)
+    scores = clustering.gap_statistic(df, names)
     return _scores(t, scores, max(scores, key=scores.get))
 
 
@@ -444,20 +444,20 @@ def eigen_gap_k(t):
 
 @query("cluster_count_methods", "K10")
 def cluster_count_methods(t):
-    return clustering.compare_cluster_counts(t.part, ["p_size", "p_retailprice"], max_clusters=5)
+    return clustering.compare_cluster_counts(t.part, ["p_size", "p_retailprice"])
 
 
 @query("cluster_count_timings", "K11 I1")
 def cluster_count_timings(t):
     df, names = embedding_columns(t)
-    return clustering.time_cluster_counts({"two_columns": (df, names[:2]), "all_columns": (df, names)}, max_clusters=2)
+    return clustering.time_cluster_counts({"two_columns": (df, names[:2]), "all_columns": (df, names)})
 
 
 @query("mixtures_in_clusters", "K17 K18")
 def mixtures_in_clusters(t):
     columns = ["l_quantity", "l_extendedprice"]
     labelled = t.lineitem.select(F.col("l_linenumber").alias("cluster"), *columns)
-    fitted = clustering.cluster_mixtures(labelled, columns, max_components=3, by_bic=True, max_iter=10)
+    fitted = clustering.cluster_mixtures(labelled, columns, max_components=15, by_bic=True)
     rows = [(int(g), i, float(w), *[float(v) for v in mean]) for g, m in fitted.items() for i, (w, mean) in enumerate(zip(m.weights, m.means))]
     return t.spark.createDataFrame(rows, "cluster int, component int, weight double, l_quantity double, l_extendedprice double")
 

@@ -56,10 +56,10 @@ def _preset_query(name: str, preset: str, ids: str, **options) -> None:
 
 
 _preset_query("synth_mixture_copula", "mixture_copula", "G1 G2 G11 D2 C1 C8 S2")
-_preset_query("synth_joint_mixture", "joint_mixture", "G8 D3 G11", joint_components=3)
+_preset_query("synth_joint_mixture", "joint_mixture", "G8 D3 G11")
 _preset_query("synth_parametric_copula", "parametric_copula", "G3 K3 K4 G11")
-_preset_query("synth_elbow_copula", "elbow_copula", "G4 K6 V2 G11", max_k=5)
-_preset_query("synth_silhouette_copula", "silhouette_copula", "G4 K7 V2 G11", max_k=4)
+_preset_query("synth_elbow_copula", "elbow_copula", "G4 K6 V2 G11")
+_preset_query("synth_silhouette_copula", "silhouette_copula", "G4 K7 V2 G11")
 _preset_query("synth_local_copula", "local_copula", "G5 G6 G7 K2 D9 C3 M5", k=3)
 _preset_query("synth_spectral_copula", "spectral_copula", "G4 K12 K13 K14 K15 K16 V2")
 _preset_query("synth_spectral_mixture", "spectral_mixture", "K17 G3", k=3)

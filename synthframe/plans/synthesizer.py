@@ -157,7 +157,7 @@ class Synthesizer:
     k: int | None = None
     max_k: int = 10
     max_components: int = 19
-    joint_components: int = 8
+    joint_components: int = 19
     vertices: int = VERTICES
     use_covariance: bool = False
 
@@ -261,7 +261,7 @@ class Synthesizer:
     def _fit_parametric_copula(self, table: DataFrame, columns: list[str]) -> generate.Draws:
         marginals, scores = self._parametric_scores(table, columns)
         try:
-            k = self.k or min(clustering.eigen_gap_k(scores, columns)[0], self.max_k)
+            k = self.k or clustering.eigen_gap_k(scores, columns)[0]
             model = clustering.mixtures_from_kmeans(scores, columns, [k], self.seed)[k]
         finally:
             scores.unpersist()
@@ -294,7 +294,7 @@ class Synthesizer:
         return self._fit_by_k(table, columns, clustering.silhouette_k)
 
     def _fit_local_copula(self, table: DataFrame, columns: list[str]) -> generate.Draws:
-        k = self.k or min(clustering.eigen_gap_k(table, columns)[0], self.max_k)
+        k = self.k or clustering.eigen_gap_k(table, columns)[0]
         labelled, _ = clustering.kmeans_labels(table, columns, k, self.seed)
         labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
         try:

@@ -261,3 +261,39 @@ def test_quality_report_scores_dates_and_booleans(spark):
     moved = df.withColumn("day", F.date_add("day", 45)).withColumn("flag", F.lit(True))
     shapes = {r.column: r.score for r in quality.column_shapes(df, moved).collect()}
     assert shapes["day"] < 0.55 and shapes["flag"] == pytest.approx(134 / 400) and shapes["local"] == 1.0
+
+
+def test_joint_mixture_equals_plain_em_however_its_sums_are_merged(spark):
+    """Packed statistics merged in one or in five lanes against EM over the rows in numpy."""
+    df = blobs(spark)
+    x = np.array(df.select("a", "b").collect())
+    start = mixture.JointMixture(["a", "b"], np.full(3, 1 / 3), np.array([[0.0, 0.5], [5.0, 0.0], [0.5, 5.0]]), np.stack([np.eye(2) * 2] * 3))
+    plain = start
+    for _ in range(4):
+        lp = mixture.log_densities(x, plain)
+        norm = np.log(np.exp(lp).sum(axis=1))
+        r = np.exp(lp - norm[:, None])
+        mass = r.sum(axis=0)
+        means = (r.T @ x) / mass[:, None]
+        cov = [np.cov(x.T, aweights=r[:, j], bias=True) + mixture.VARIANCE_FLOOR * np.eye(2) for j in range(3)]
+        plain = mixture.JointMixture(["a", "b"], mass / mass.sum(), means, np.stack(cov), norm.sum(), len(x))
+    for lanes in (1, 5):
+        got = mixture.joint_em(df.repartition(9), {0: start}, max_iter=4, tol=0.0, lanes=lanes)[0]
+        assert got.n == len(x)
+        np.testing.assert_allclose(got.log_likelihood, plain.log_likelihood, rtol=1e-10)
+        np.testing.assert_allclose(got.weights, plain.weights, atol=1e-9)
+        np.testing.assert_allclose(got.means, plain.means, atol=1e-8)
+        np.testing.assert_allclose(got.covariances, plain.covariances, atol=1e-8)
+
+
+def test_merged_statistics_reach_the_driver_as_one_row_a_model(spark):
+    rows = spark.range(4000, numPartitions=40).selectExpr("int(id % 2) AS model", "int(id % 7) AS lane", "array(1D, double(id)) AS sums")
+    got = mixture.summed_statistics(rows, 7, 2)
+    assert {k: v.tolist() for k, v in got.items()} == {0: [2000.0, 2000.0 * 1999], 1: [2000.0, 2000.0 * 2000]}
+
+
+def test_davies_bouldin_of_vectors_equals_that_of_columns(spark):
+    df = blobs(spark)
+    labelled, _ = clustering.kmeans_labels(df, ["a", "b"], 3)
+    path = clustering.davies_bouldin_path(df, ["a", "b"], [3])
+    np.testing.assert_allclose(path[3], clustering.davies_bouldin(labelled, ["a", "b"], "cluster"), rtol=1e-9)
