@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthframe.functions.frames import first_row, long_form
+from synthframe.functions.frames import first_row
 
 # The identifier formats recognised in unique string columns.
 PREFIX_PATTERN = r"^([A-Za-z]+)([0-9]+)"
@@ -136,12 +137,21 @@ def profile_frame(df: DataFrame, **options) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact distinct non-null counts of several columns in one shuffle."""
-    if not columns:
+    """Exact distinct non-null counts of several columns, each in its own type.
+
+    Columns of one type are unpivoted together, so no value turns into a string; a
+    column's values are made distinct before the shuffle and counted after it.
+    """
+    parts = []
+    for kind in {f.dataType.simpleString(): None for f in df.schema if f.name in columns}:
+        named = [(i, c) for i, c in enumerate(columns) if df.schema[c].dataType.simpleString() == kind]
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("value")) for i, c in named]))
+        parts.append(df.select(cells.alias("cell")).select("cell.*").filter("value IS NOT NULL")
+                     .distinct().groupBy("at").agg(F.count("*").alias("n")))
+    if not parts:
         return {}
-    cells = long_form(df, columns, "string").filter(F.col("value").isNotNull()).distinct()
-    found = {r["column"]: r["n"] for r in cells.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    return {c: found.get(c, 0) for c in columns}
+    found = {r["at"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()}  # one row per column
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
 
 
 def prefix_parts(c: Column) -> Column:

@@ -62,14 +62,25 @@ def _profile_sql(source: str, columns: list[tuple[str, str, str]]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("profile_columns", "P1 P4 P12", _profile_sql("SELECT * FROM orders", [
+_ORDER_PROFILE = _profile_sql("SELECT * FROM orders", [
     ("o_orderkey", "bigint", "number"), ("o_custkey", "bigint", "number"), ("o_orderstatus", "string", "category"),
-    ("o_totalprice", "double", "number"), ("o_orderdate", "timestamp_ntz", "time"),
-    ("o_orderpriority", "string", "category")]))
+    ("o_totalprice", "double", "number"), ("o_orderdate", "timestamp_ntz", "time"), ("o_orderpriority", "string", "category")])
+
+
+@query("profile_columns", "P1 P4 P12", _ORDER_PROFILE)
 def profile_columns(t):
     return profile.profile_frame(t.orders, exact_distinct=True).drop("prefix", "digits")
 
 
+@query("profile_sketched", "P1 S5", f"""SELECT "column", role, n, n_null, min, max,
+  CASE WHEN n_distinct >= 0.95 * (n - n_null) THEN n_distinct END AS near_unique FROM ({_ORDER_PROFILE})""")
+def profile_sketched(t):
+    """The default path: sketched counts, exact ones only where a column comes near uniqueness."""
+    made = profile.profile_frame(t.orders)
+    return made.select("column", "role", "n", "n_null", "min", "max",
+                       F.when(F.col("n_distinct") >= 0.95 * (F.col("n") - F.col("n_null")), F.col("n_distinct")).alias("near_unique"))
+
+
 @query("profile_id_columns", "P1 P2 P3 S5", _profile_sql(CUSTOMER_IDS, [
     ("c_custkey", "bigint", "number"), ("code", "string", "prefixed_id"), ("policy", "string", "hyphen_id"),
     ("c_mktsegment", "string", "category"), ("c_acctbal", "double", "number"), ("c_nationkey", "int", "number")]))
