@@ -17,7 +17,6 @@ from synthframe.llm.common import bounded_sample, held_out, texts, tidied
 WIDTH, FILTERS, CHUNK = 6, 12, 256
 STEP = CHUNK - WIDTH + 1  # chunks overlap by a filter's width, so no position is skipped
 BLOCK = 512  # chunks scored at once; bounds memory for texts of any length
-TRAIN_CHUNKS = 12
 
 
 def chunks(text: str) -> np.ndarray:
@@ -38,6 +37,16 @@ class QualityModel:
         self.out = (rng.standard_normal(2 * FILTERS) * 0.1).astype(np.float32)
         self.bias = np.float32(0.0)
 
+    def peaks(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, response) of each filter's largest response in each chunk, `BLOCK` chunks at a time."""
+        where, top = [], []
+        for start in range(0, len(block), BLOCK):
+            response = self.responses(block[start:start + BLOCK])
+            at = response.argmax(axis=1)
+            where.append(at)
+            top.append(np.take_along_axis(response, at[:, None, :], axis=1)[:, 0])
+        return np.concatenate(where), np.concatenate(top)
+
     def responses(self, block: np.ndarray) -> np.ndarray:
         """Filter responses at each position of each chunk."""
         total = self.table[0][block[:, :STEP]]
@@ -70,9 +79,7 @@ class QualityModel:
                 sizes = [len(documents[i]) for i in batch]
                 block = np.concatenate([documents[i] for i in batch])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                response = self.responses(block)
-                where = response.argmax(axis=1)
-                top = np.take_along_axis(response, where[:, None, :], axis=1)[:, 0]
+                where, top = self.peaks(block)
                 pooled = np.maximum(top, 0.0)
                 mean = np.add.reduceat(pooled, starts) / np.array(sizes, np.float32)[:, None]
                 most = np.maximum.reduceat(pooled, starts)
@@ -101,29 +108,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 500) -> QualityMode
     """Learn from about `per_class` labelled documents of each class (the bound of the sample).
 
     Held-out rows (crc32(doc_id) mod 3 = 1), null ids, texts and labels are not learned
-    from.  From each sampled text at most `TRAIN_CHUNKS` evenly spread chunks reach the
-    driver; scoring always reads whole texts.  Several labels of one document count as
-    their smallest.
+    from.  The sampled texts reach the driver whole, and all their chunks are learned
+    from.  Several labels of one document count as their smallest; of several texts
+    under one id the first in the order of the letters is learned from.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(marked, "quality", per_class).select("doc_id", "quality").collect()  # at most 4 x per_class small rows
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in chosen], "doc_id bigint, quality int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-
-    def cut(batches):
-        for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                parts = chunks(text)
-                found.append(parts[np.unique(np.linspace(0, len(parts) - 1, TRAIN_CHUNKS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
-
-    sample = sorted(rows.select("doc_id", "quality", "text").mapInArrow(tidied(cut), "doc_id bigint, quality int, x binary").limit(8 * per_class).collect())
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sample = sorted((r["doc_id"], r["quality"], r["text"]) for r in rows.collect())
     model = QualityModel()
-    marks = np.array([r["quality"] for r in sample], dtype=np.float32)
-    if len(sample):
-        model.train([np.frombuffer(r["x"], dtype=np.uint8).reshape(-1, CHUNK) for r in sample], marks)
+    marks = np.array([quality for _, quality, _ in sample], dtype=np.float32)
+    if sample:
+        model.train([chunks(text) for _, _, text in sample], marks)
     return model
 
 

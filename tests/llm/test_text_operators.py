@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from synthframe.llm import (decontaminate, language, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, substring_dedup,
@@ -303,6 +304,48 @@ def test_quality_on_held_out_rows(spark):
         assert sum(r["predicted"] == label for r in own) / len(own) > 0.85
 
 
+def test_quality_score_equals_a_plain_convolution():
+    """Every byte position of the whole text, one at a time, against the chunked and blocked form."""
+    rng = np.random.default_rng(1)
+    model = quality_model.QualityModel()
+    for size in (0, 3, 6, 250, 256, 257, 1500, 251 * 600):
+        text = "".join(rng.choice(list("abc xyz\u00e9\n"), size))
+        raw = text.encode()
+        n = max(1, -(-max(0, len(raw) - quality_model.WIDTH + 1) // quality_model.STEP))
+        raw = raw[:(n - 1) * quality_model.STEP + quality_model.CHUNK].ljust((n - 1) * quality_model.STEP + quality_model.CHUNK, b"\0")
+        pooled = []
+        for c in range(n):
+            part = np.frombuffer(raw, dtype=np.uint8)[c * quality_model.STEP:c * quality_model.STEP + quality_model.CHUNK]
+            best = np.zeros(quality_model.FILTERS)
+            for at in range(quality_model.STEP):
+                best = np.maximum(best, sum(model.table[k][part[at + k]] for k in range(quality_model.WIDTH)))
+            pooled.append(best)
+            if size > 2000 and c >= 20:  # the rest only through `pooled` of the model itself
+                pooled += list(model.pooled(quality_model.chunks(text)[c + 1:]))
+                break
+        z = np.concatenate((np.mean(pooled, axis=0), np.max(pooled, axis=0))) @ model.out + model.bias
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_quality_learns_from_every_chunk(spark):
+    """Texts that differ only in their middle, far from the ends and from evenly spread places."""
+    filler = "plain words without any sign of worth " * 300
+    rows = [(i, filler[:5000 + 7 * i] + ("GOODMARK " * 3 if i % 2 else "BADSIGN! " * 3) + filler[: 6000 - 7 * i]) for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = [r for r in quality_model.score(frame, quality_model.fit(frame, labels)).collect() if r["held_out"]]
+    assert len(got) > 50 and sum(r["predicted"] == r["doc_id"] % 2 for r in got) / len(got) > 0.9
+
+
+def test_quality_odd_rows(spark, docs, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(odd))] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    wide = docs.withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1)).withColumn("quality", F.lit(9))
+    wide = wide.unionByName(wide.withColumn("doc_id", F.lit(None).cast("long")))
+    got = quality_model.score(wide, quality_model.fit(wide, labels)).collect()
+    assert len(got) == 2 * len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
 def test_language_odd_rows(docs, odd):
     found = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert [found[i]["lang_pred"] for i in (0, 1, 2, 16)] == ["und"] * 4 and found[0]["score"] == 0 and found[6]["lang_pred"] == "en"
