@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.feature import MinMaxScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthframe.functions.frames import string_columns
 from synthframe.functions.quantiles import exact_quantiles
 from synthframe.functions.rng import md5_number
 from synthframe.functions.sampling import smallest_by_hash
 from synthframe.functions.scan import ROWS_PER_BUCKET, running_sum
+from synthframe.operators import trees
 from synthframe.operators.quality import holdout_split
 
 train_test_split = holdout_split  # U1: (train, test)
@@ -123,61 +115,31 @@ def features_pipeline(numeric: Sequence[str], categories: Sequence[str]) -> list
     return [*stages, VectorAssembler(inputCols=made, outputCol="features")]
 
 
-def forest_search(numeric: Sequence[str], categories: Sequence[str], label: str, trees: Sequence[int] = (20, 50),
-                  depths: Sequence[int] = (5, 8), folds: int = 5, seed: int = 1, parallelism: int = 4) -> Pipeline:
-    """Random forest, grid over trees and depth, k-fold, by mean absolute error."""
-    forest = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
-    search = CrossValidator(estimator=forest, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                            evaluator=RegressionEvaluator(labelCol=label, metricName="mae"), parallelism=parallelism)
-    return Pipeline(stages=[*features_pipeline(numeric, categories), search])
-
-
-def boosting_search(numeric: Sequence[str], categories: Sequence[str], label: str, draws: int = 10, folds: int = 5,
-                    seed: int = 123, iterations: Sequence[int] = (10, 20, 30), rates: Sequence[float] = (0.01, 0.1, 0.2),
-                    depths: Sequence[int] = (3, 4, 5), parallelism: int = 4) -> Pipeline:
-    """Boosted trees one-vs-rest, `draws` settings picked from the grid by seed, k-fold, by accuracy."""
-    boost = GBTClassifier(featuresCol="features", labelCol=label, seed=1)
-    settings = list(product(iterations, rates, depths))
-    picked = random.Random(seed).sample(settings, min(draws, len(settings)))
-    builds = [OneVsRest(classifier=boost.copy({boost.maxIter: i, boost.stepSize: r, boost.maxDepth: d}),
-                        featuresCol="features", labelCol=label) for i, r, d in picked]
-    search = OneVsRest(featuresCol="features", labelCol=label)
-    grid = [{search.classifier: b.getClassifier()} for b in builds]
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    validated = CrossValidator(estimator=search, estimatorParamMaps=grid, numFolds=folds, seed=seed, evaluator=judge,
-                               parallelism=parallelism)
-    return Pipeline(stages=[*features_pipeline(numeric, categories), validated])
-
-
-def _inputs(df: DataFrame, label: str, drop: Sequence[str]) -> tuple[list[str], list[str]]:
-    categories = [c for c in string_columns(df) if c != label and c not in drop]
-    numeric = [c for c in df.columns if c not in categories and c != label and c not in drop]
-    return numeric, categories
+# ----------------------------------------------------------------- experiments
 
+def fit_model(train: DataFrame, label: str, task: str = "regression", drop: Sequence[str] = (), **search):
+    """The best model of the forest grid ("regression") or of the boosting draws ("classification")."""
+    numeric, categories = trees.inputs(train, label, drop)
+    build = trees.forest_search if task == "regression" else trees.boosting_search
+    return build(train, numeric, categories, label, **search)
+
+
+def model_metrics(model, test: DataFrame, label: str) -> DataFrame:
+    """One metric row of a fitted model on `test`; rows without a label are left out."""
+    predicted = model.transform(test.filter(F.col(f"`{label}`").isNotNull()))
+    if isinstance(model, trees.Forest):
+        return regression_metrics(predicted, label, "prediction", len(model.encoder.numeric) + len(model.encoder.categories))
+    named = [F.get("probability", F.lit(i)).alias(f"score_{i}") for i in range(len(model.classes))]
+    scored = predicted.select(F.col(f"`{label}`").cast("string").alias("label"), "prediction", *named)
+    metrics = classification_metrics(scored, "label", "prediction")
+    gini = gini_score(scored, "label", {k: f"score_{i}" for i, k in enumerate(model.classes)}).first()
+    return metrics.withColumn("auc", F.lit(gini["auc"])).withColumn("gini", F.lit(gini["gini"]))
 
-# ----------------------------------------------------------------- experiments
 
 def evaluate_model(train: DataFrame, test: DataFrame, label: str, task: str = "regression", drop: Sequence[str] = (),
                    **search) -> DataFrame:
     """Fit on `train`, score on `test`: one metric row."""
-    numeric, categories = _inputs(train, label, drop)
-    build = forest_search if task == "regression" else boosting_search
-    held = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fold and tree level
-    try:
-        model = build(numeric, categories, label, **search).fit(held)
-    finally:
-        held.unpersist()
-    predicted = model.transform(test)
-    if task == "regression":
-        return regression_metrics(predicted, label, "prediction", len(numeric) + len(categories))
-    raw = vector_to_array("rawPrediction")
-    classes = [float(k) for k in range(len(model.stages[-1].bestModel.models))]
-    scored = predicted.select(label, "prediction", *[raw[i].alias(f"score_{i}") for i in range(len(classes))])
-    scored = scored.withColumn(label, F.col(label).cast("double"))
-    metrics = classification_metrics(scored, label, "prediction")
-    gini = gini_score(scored, label, {k: f"score_{i}" for i, k in enumerate(classes)}).first()
-    return metrics.withColumn("auc", F.lit(gini["auc"])).withColumn("gini", F.lit(gini["gini"]))
+    return model_metrics(fit_model(train, label, task, drop, **search), test, label)
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -194,9 +156,12 @@ def augmentation_experiment(real: DataFrame, synthetic: DataFrame, label: str, r
     extra = round(real.count() / 2)
     synthetic = synthetic.persist(StorageLevel.MEMORY_AND_DISK)
     results = []
-    for i in range(iterations):
-        rows = augment(train, synthetic, extra, row_id, seed + i).drop("origin")
-        results.append(evaluate_model(rows, test, label, task, (row_id,), **search).withColumn("iteration", F.lit(i + 1)))
+    try:
+        for i in range(iterations):
+            rows = augment(train, synthetic, extra, row_id, seed + i).drop("origin")
+            results.append(evaluate_model(rows, test, label, task, (row_id,), **search).withColumn("iteration", F.lit(i + 1)))
+    finally:
+        synthetic.unpersist()
     return _stack(results)
 
 
@@ -211,19 +176,10 @@ def synthetic_and_real_test(synthetic: DataFrame, real: DataFrame, label: str, r
                             task: str = "regression", seed: int = 0, **search) -> DataFrame:
     """One fit on synthetic rows, scored on a synthetic holdout and on the real table."""
     train, test = holdout_split(synthetic, row_id, test_share, seed)
-    numeric, categories = _inputs(train, label, (row_id,))
-    build = forest_search if task == "regression" else boosting_search
-    held = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = build(numeric, categories, label, **search).fit(held)
-    finally:
-        held.unpersist()
+    model = fit_model(train, label, task, (row_id,), **search)
 
     def scores(df: DataFrame, name: str) -> DataFrame:
-        predicted = model.transform(df)
-        made = regression_metrics(predicted, label, "prediction") if task == "regression" \
-            else classification_metrics(predicted, label, "prediction")
-        return made.withColumn("test_set", F.lit(name))
+        return model_metrics(model, df, label).withColumn("test_set", F.lit(name))
 
     return scores(test, "synthetic_holdout").unionByName(scores(real, "real"))
 

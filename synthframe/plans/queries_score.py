@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.functions.rng import md5_uniform
-from synthframe.operators import encode, generate, quality, utility
+from synthframe.operators import encode, generate, quality, trees, utility
 from synthframe.operators.timing import GENERATION, StageTimer
 from synthframe.plans import sqltext as S
 from synthframe.plans.queries_prepare import GAPPY, MEASURES, gappy_orders
@@ -464,9 +464,6 @@ def boxplot_summary(t):
     return made.select("l_returnflag", "metric", *[F.round(c, 5).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
-_FOREST = {"trees": (10,), "depths": (5,), "folds": 2}
-
-
 def _learning_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     real = t.part.select("p_partkey", "p_size", "p_type", "p_retailprice")
     model = Synthesizer("parametric_copula", row_id="p_partkey", k=2).fit(real)
@@ -476,14 +473,14 @@ def _learning_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("augmentation_experiment", "U4 U6 E11 E13")
 def augmentation_experiment(t):
     real, synthetic = _learning_rows(t)
-    return utility.augmentation_experiment(real, synthetic, "p_retailprice", "p_partkey", iterations=2, **_FOREST)
+    return utility.augmentation_experiment(real, synthetic, "p_retailprice", "p_partkey")
 
 
 @query("learning_curve", "U5 G13")
 def learning_curve(t):
     real = t.part.select("p_partkey", "p_size", "p_type", "p_retailprice")
     model, n = Synthesizer("parametric_copula", row_id="p_partkey", k=2).fit(real), real.count()
-    return utility.learning_curve({s: model.sample(t.spark, s) for s in (n // 2, n)}, real, "p_retailprice", ("p_partkey",), **_FOREST)
+    return utility.learning_curve({s: model.sample(t.spark, s) for s in (n // 2, n)}, real, "p_retailprice", ("p_partkey",))
 
 
 @query("boosting_utility", "U7 U10 E14")
@@ -491,19 +488,34 @@ def boosting_utility(t):
     df = t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", F.col("l_linestatus"),
                            (F.col("l_linenumber") > 3).cast("int").alias("late"), "l_orderkey")
     train, test = utility.train_test_split(df, "l_orderkey")
-    return utility.evaluate_model(train, test, "late", "classification", ("l_orderkey",), draws=1, folds=2, iterations=(5,), rates=(0.1,), depths=(3,))
+    return utility.evaluate_model(train, test, "late", "classification", ("l_orderkey",), draws=1, folds=2, trees=(5,), rates=(0.1,), depths=(3,), split=(2,), leaf=(1,))
+
+
+@query("forest_grid", "U6")
+def forest_grid(t):
+    """Mean absolute error of every point of the forest grid: trees, depth, criterion."""
+    df = t.part.select("p_size", "p_type", "p_retailprice")
+    return t.spark.createDataFrame(trees.forest_search(df, ["p_size"], ["p_type"], "p_retailprice").scores)
+
+
+@query("boosting_draws", "U7")
+def boosting_draws(t):
+    """Accuracy of every draw of the boosting search on three classes of price."""
+    tier = F.when(F.col("p_retailprice") < 930, "low").when(F.col("p_retailprice") < 970, "middle").otherwise("high")
+    df = t.part.select("p_partkey", "p_size", "p_type", tier.alias("tier"))
+    return t.spark.createDataFrame(trees.boosting_search(df, ["p_partkey", "p_size"], ["p_type"], "tier").scores)
 
 
 @query("synthetic_and_real_test", "U13")
 def synthetic_and_real_test(t):
     real, synthetic = _learning_rows(t)
-    return utility.synthetic_and_real_test(synthetic, real, "p_retailprice", "p_partkey", **_FOREST)
+    return utility.synthetic_and_real_test(synthetic, real, "p_retailprice", "p_partkey")
 
 
 @query("real_only_baseline", "U14")
 def real_only_baseline(t):
     real, synthetic = _learning_rows(t)
-    return utility.baseline_comparison(real, synthetic, "p_retailprice", "p_partkey", **_FOREST)
+    return utility.baseline_comparison(real, synthetic, "p_retailprice", "p_partkey")
 
 
 # ------------------------------------------------------------ sources, timing
