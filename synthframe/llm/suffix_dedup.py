@@ -28,7 +28,8 @@ WINDOW = 200
 HEAD = 64
 GROUP = 16
 SEGMENT = 1 << 20
-BATCHES = 2
+#: Batches that a table arrives in: one for so many bytes of files, within these bounds.
+BATCH_BYTES, LEAST_BATCHES, MOST_BATCHES = 256 << 30, 5, 31
 _BYTES = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -90,29 +91,30 @@ def suffix_array(docs: DataFrame, window: int, batch: int, batches: int) -> Data
 
 
 class SuffixLevels:
-    """Levels of sorted suffix arrays, at most one of each size class."""
+    """Levels of sorted suffix arrays, at most one of each size: 1, 2, 4, ... batches."""
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
+        self.scanned: list[tuple[int, ...]] = []  # the levels that each batch met
 
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Merge-scan a new array against every level; (d, e, at) of suffixes with an equal beginning.
 
-        While a level of the same size class exists, the two merge and the class
-        doubles.  `last` says that no batch follows, so the merged level need not be
-        written.
+        Afterwards the array becomes a level; while one of its size exists, the two merge
+        into one of twice the size.  `last` says that no batch follows, so that level need
+        not be written.
         """
-        carried, size, scanned = batch, 0, []
-        while size in self.levels:
-            carried, size = carried.unionByName(self.levels.pop(size)), size + 1
+        array = batch if last else stash(repeats.sorted_questions(batch), "suffix-array")
+        met = array
+        for level in self.levels.values():
+            met = met.unionByName(level)
+        self.scanned.append(tuple(sorted(self.levels)))
         if not last:
-            carried = self.levels[size] = stash(repeats.sorted_questions(carried), f"suffix-level-{size}")
-        scanned.append(repeats.answers(carried))
-        scanned += [repeats.answers(batch.unionByName(level)) for other, level in self.levels.items() if other != size]
-        found = scanned[0]
-        for more in scanned[1:]:
-            found = found.unionByName(more)
-        return found
+            carried, size = array.filter("known IS NULL"), 0  # what a batch answers itself is no part of a level
+            while size in self.levels:
+                carried, size = carried.unionByName(self.levels.pop(size)), size + 1
+            self.levels[size] = stash(repeats.sorted_questions(carried), f"suffix-level-{size}") if size else carried
+        return repeats.answers(met)
 
 
 def groups(marked: DataFrame, window: int) -> DataFrame:
@@ -233,7 +235,13 @@ def _remove(marked: DataFrame, window: int) -> DataFrame:
     return marked.mapInArrow(tidied(run), "d bigint, e int, removed bigint, spans bigint, kept_sha string")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def batches_of(docs: DataFrame) -> int:
+    """Batches for a table, from the engine's estimate of its bytes; every text is in exactly one, whatever their number."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(-(-size // BATCH_BYTES), LEAST_BATCHES), MOST_BATCHES)
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A byte goes if a string of `window` bytes over it occurs anywhere else, in the same
@@ -244,6 +252,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -
     if window < HEAD + GROUP:
         raise ValueError(f"a window must hold at least {HEAD + GROUP} bytes")
     rows = stash(repeats.digests(docs, content, len), "suffix-texts")
+    batches = batches or batches_of(docs)
     family, matched = SuffixLevels(), None
     for batch in range(batches):
         found = family.add(suffix_array(docs, window, batch, batches), last=batch == batches - 1)

@@ -69,7 +69,7 @@ def test_substring_dedup_is_exact(table, request):
     assert keyed(got) == keyed(want)
 
 
-@pytest.mark.parametrize("table,batches", [("docs", 1), ("docs", 4), ("sample", 3)])
+@pytest.mark.parametrize("table,batches", [("docs", 1), ("docs", 4), ("sample", 3), ("sample", None)])
 def test_suffix_dedup_is_exact(table, batches, request):
     frame = request.getfixturevalue(table)
     rows = pairs(frame)
@@ -78,6 +78,17 @@ def test_suffix_dedup_is_exact(table, batches, request):
     assert keyed(got) == keyed(want)
 
 
+def test_suffix_batches_meet_every_level(sample, monkeypatch):
+    """Seven batches of the production path: arrays of 1, 2 and 4 batches, each new one scanned against all of them."""
+    families = []
+    monkeypatch.setattr(suffix_dedup, "SuffixLevels", lambda real=suffix_dedup.SuffixLevels: families.append(real()) or families[-1])
+    assert suffix_dedup.batches_of(sample) == suffix_dedup.LEAST_BATCHES
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", -(-int(sample._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // 7))
+    found = suffix_dedup.deduplicate(sample)
+    assert families[0].scanned == [(), (0,), (1,), (0, 1), (2,), (0, 2), (1, 2)]
+    assert sum(2 ** size for size in families[0].levels) == 6 and found.count() == sample.count()
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_dedup_is_exact(sample, size):
     rows = pairs(sample)
