@@ -25,6 +25,8 @@ ASKED = "key bigint, chk int, d bigint, e int, at bigint, extra binary, known bi
 MARKED = "d bigint, e int, at binary"
 _ASK = pa.schema([("key", pa.int64()), ("chk", pa.int32()), ("d", pa.int64()), ("e", pa.int32()), ("at", pa.int64()),
                   ("extra", pa.binary()), ("known", pa.binary())])
+#: A text with more copies than this, and than a `BROADCAST_KEYS`th of the rows, is looked up by broadcast.
+HEAVY_COPIES = 1000
 _BASE = 0x9E3779B97F4A7C15
 _SECOND = 0xC2B2AE3D27D4EB4F
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -203,12 +205,18 @@ def finish(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """(doc_id, n, n_removed, n_spans, kept_sha256): spans per text given back to every row.
 
     A text that occurs more than once and is at least a window long is removed whole.
+    The keys of texts with very many copies are broadcast, so their rows stay where they
+    are; their number is bounded because each has more than a `BROADCAST_KEYS`th of the rows.
     """
-    copies = rows.groupBy("d", "e").agg(F.count(F.lit(1)).alias("copies"))
+    limit = max(HEAVY_COPIES, -(-rows.count() // BROADCAST_KEYS))
+    copies = stash(rows.groupBy("d", "e").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeat-copies")
+    uncut = copies.selectExpr("d", "e", "copies", "cast(null AS bigint) AS removed", "cast(null AS bigint) AS spans", "cast(null AS string) AS kept_sha")
+    heavy = F.broadcast(uncut.filter(F.col("copies") > limit))
+    light = uncut.filter(F.col("copies") <= limit).unionByName(spans.withColumn("copies", F.lit(1).cast("long")))
+    changed = rows.join(heavy.select("d", "e"), ["d", "e"], "left_anti").join(light, ["d", "e"], "left")
     empty = hashlib.sha256(b"").hexdigest()
-    result = copies.join(spans, ["d", "e"], "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= window)
-    return rows.join(result, ["d", "e"]).select(
+    return changed.unionByName(rows.join(heavy, ["d", "e"])).select(
         "doc_id", "n",
         F.when(whole, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from synthframe.llm import (decontaminate, language, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, substring_dedup,
-                            suffix_dedup)
+from synthframe.llm import (decontaminate, language, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, repeats,
+                            substring_dedup, suffix_dedup)
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -78,6 +78,18 @@ def test_suffix_dedup_is_exact(table, batches, request):
     assert keyed(got) == keyed(want)
 
 
+@pytest.mark.parametrize("heavy", [1, 3])
+def test_texts_with_many_copies_go_whole_by_broadcast(spark, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "HEAVY_COPIES", heavy)
+    long, short = "one repeated text " * 30, "too short"
+    texts = [long] * 6 + [short] * 5 + [None] * 4 + [long + "tail"] * 2 + [f"alone {i} " * 40 for i in range(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = [(i, *v) for i, v in enumerate(brute.byte_spans(texts, 200))]
+    assert sorted(tuple(r) for r in suffix_dedup.deduplicate(frame).collect()) == want
+    want = [(i, *v) for i, v in enumerate(brute.substring(texts, 35))]
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicate(frame).collect()) == want
+
+
 def test_suffix_batches_meet_every_level(sample, monkeypatch):
     """Seven batches of the production path: arrays of 1, 2 and 4 batches, each new one scanned against all of them."""
     families = []
