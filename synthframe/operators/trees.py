@@ -8,6 +8,11 @@ once to its greatest depth: its first trees and upper levels are the smaller for
 the grid.  Boosting follows the softmax loss with one tree a class and round; its
 scores are kept with the rows and written anew every few rounds.  Folds and bootstrap
 weights are hashes of a row's content, so a lost task repeats the same draw.
+
+Rows that share all cells reach the same leaf of any tree.  Where a table has at most
+PROFILES such cell vectors, one scan adds up the sums of each vector (per tree and
+fold, or per fold and class) and the trees are grown from these, exactly as from the
+rows; longer tables cost longer scans, but no more of them.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ BOOST_LEAF = (1, 2, 3)
 BINS = 32
 #: Bytes of sums that one scan holds in a task; more trees take more scans.
 SCAN_BYTES = 64 << 20
+#: Cell vectors of one search; with more of them trees are grown by scans over the rows.
+PROFILES = 65_536
 #: Rounds of boosting between two writes of the scores.
 REWRITE = 3
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 12.0)]))
@@ -193,6 +200,21 @@ class Tree:
             at = np.where(column >= 0, 2 * at + 2 - left, at)
         return at
 
+    def divide(self, level: int, splits: Sequence[np.ndarray]) -> None:
+        """Take the splits of a level's nodes, as `best_splits` returns them."""
+        column, cut, own, left, right = splits
+        here = np.arange(2 ** level) + 2 ** level - 1
+        if level == 0:
+            self.value[0] = own[0]
+        split = column >= 0
+        self.column[here], self.cut[here] = column, cut
+        self.value[2 * here[split] + 1], self.value[2 * here[split] + 2] = left[split], right[split]
+
+    def splits_above(self, level: int) -> bool:
+        """Whether any node of this level exists."""
+        first = 2 ** level - 1
+        return level == 0 or bool((self.column[(first - 1) // 2:first] >= 0).any())
+
     def predict(self, x: np.ndarray, equality: np.ndarray, levels: int | None = None) -> np.ndarray:
         return self.value[self.nodes(x, equality, self.depth if levels is None else levels)]
 
@@ -283,26 +305,74 @@ def _scan(blocks: DataFrame, trees: dict[int, Tree], rules: dict[int, Rules], so
     packed = blocks.mapInArrow(add, "tree int, at binary, sums binary")
     chosen = packed.repartition(blocks.sparkSession.sparkContext.defaultParallelism, "tree").mapInArrow(choose, "tree int, splits binary").collect()
     for row in chosen:
-        tree, (column, cut, own, left, right) = trees[row["tree"]], np.frombuffer(row["splits"]).reshape(5, nodes)
-        here = np.arange(nodes) + first
-        if level == 0:
-            tree.value[0] = own[0]
-        split = column >= 0
-        tree.column[here], tree.cut[here] = column, cut
-        tree.value[2 * here[split] + 1], tree.value[2 * here[split] + 2] = left[split], right[split]
+        trees[row["tree"]].divide(level, np.frombuffer(row["splits"]).reshape(5, nodes))
 
 
 def grow(blocks: DataFrame, trees: dict[int, Tree], rules: dict[int, Rules], make_source: Callable[[list[int]], Source], encoder: Encoder) -> None:
     """Grow all trees level by level; a scan takes as many trees as its sums have room for."""
     for level in range(max(t.depth for t in trees.values())):
         room = max(1, SCAN_BYTES // (2 ** level * int(encoder.starts[-1]) * 24))
-        first = 2 ** level - 1
-        alive = [t for t, tree in trees.items() if tree.depth > level and (level == 0 or (tree.column[(first - 1) // 2:first] >= 0).any())]
+        alive = [t for t, tree in trees.items() if tree.depth > level and tree.splits_above(level)]
         for s in range(0, len(alive), room):
             some = alive[s:s + room]
             _scan(blocks, {t: trees[t] for t in some}, {t: rules[t] for t in some}, make_source(some), level, encoder)
 
 
+# --------------------------------------------------------------- cell vectors
+
+@dataclass
+class Profiles:
+    """The distinct cell vectors of a table, in the order of their codes."""
+
+    codes: np.ndarray
+    x: np.ndarray
+    encoder: Encoder
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.codes, _codes(x, self.encoder))
+
+
+def _codes(x: np.ndarray, encoder: Encoder) -> np.ndarray:
+    """One number per cell vector: its cells as digits, each column with its own base."""
+    starts = encoder.starts
+    return (x - starts[:-1]) @ np.cumprod(np.r_[1, np.diff(starts)[:-1]])
+
+
+def find_profiles(blocks: DataFrame, encoder: Encoder, most: int) -> Profiles | None:
+    """The cell vectors of the blocks, or None if there are more than `most`."""
+    sizes = np.diff(encoder.starts)
+    if not len(sizes) or np.log2(sizes.astype(float)).sum() > 62:
+        return None
+    width = len(sizes)
+
+    def distinct(batches):
+        for block in _blocks(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_codes(block.x, encoder)))], ["code"])
+
+    rows = blocks.mapInArrow(distinct, "code bigint").distinct().limit(most + 1).collect()
+    if not rows or len(rows) > most:
+        return None
+    codes = np.sort(np.array([r["code"] for r in rows], np.int64))
+    digits = codes[:, None] // np.cumprod(np.r_[1, sizes[:-1]]) % sizes
+    return Profiles(codes, (digits + encoder.starts[:-1]).astype(np.int32), encoder)
+
+
+def grow_on(x: np.ndarray, sums: np.ndarray, depth: int, rules: Rules, encoder: Encoder) -> Tree:
+    """A tree from cell vectors and their sums (rows, a, b)."""
+    starts, equality, width = encoder.starts, encoder.equality, x.shape[1]
+    tree, cells = Tree.empty(depth), int(starts[-1])
+    for level in range(depth):
+        if not tree.splits_above(level):
+            break
+        nodes = 2 ** level
+        at = tree.nodes(x, equality, level) - (nodes - 1)
+        inside = at >= 0
+        code = (at[inside, None] * cells + x[inside]).ravel()
+        held = np.stack([np.bincount(code, np.repeat(sums[inside, i], width), nodes * cells) for i in range(3)], axis=1)
+        tree.divide(level, best_splits(held.reshape(nodes, cells, 3), starts, equality, rules))
+    return tree
+
+
 # --------------------------------------------------------------------- forests
 
 @dataclass
@@ -342,6 +412,10 @@ def forest_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[st
     models = [(c, f) for c in criteria for f in (*range(folds), -1)]  # fold -1 learns from all rows
     grown = {m * most + i: Tree.empty(depth) for m in range(len(models)) for i in range(most)}
     rules = {t: Rules(models[t // most][0]) for t in grown}
+    profiles = find_profiles(blocks, encoder, PROFILES)
+
+    def weights_of(block, i):
+        return np.searchsorted(_POISSON, hashed(block.key, seed * 1_000_003 + 1 + i), side="right").astype(float)
 
     def make_source(some):
         def source(block):
@@ -349,29 +423,39 @@ def forest_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[st
             for t in some:
                 i = t % most
                 if i not in weights:
-                    weights[i] = np.searchsorted(_POISSON, hashed(block.key, seed * 1_000_003 + 1 + i), side="right").astype(float)
+                    weights[i] = weights_of(block, i)
                 rows = np.flatnonzero((fold != models[t // most][1]) & (weights[i] > 0))
                 w = weights[i][rows]
                 yield t, rows, w, w * block.y[rows]
 
         return source
 
-    grow(blocks, grown, rules, make_source, encoder)
+    def predictions(x, m):
+        """(depth, trees, mean of the first trees) of a model's forests."""
+        for d in sorted(set(depths)):
+            total = np.zeros(len(x))
+            for i in range(most):
+                total += grown[m * most + i].predict(x, equality, d)
+                if i + 1 in trees:
+                    yield d, i + 1, total / (i + 1)
+
+    if profiles is None:
+        grow(blocks, grown, rules, make_source, encoder)
+    else:
+        grown.update(_forest_trees(blocks, profiles, models, most, depth, folds, seed, weights_of))
+        known = _forest_means(blocks.sparkSession, profiles, models, predictions)
 
     def errors(batches):
         rows = []
         for block in _blocks(batches, width):
             fold = block.folds(folds, seed)
+            places = None if profiles is None else profiles.places(block.x)
             for m, (criterion, f) in enumerate(models):
                 held = np.flatnonzero(fold == f)
                 if not len(held):
                     continue
-                for d in sorted(set(depths)):
-                    total = np.zeros(len(held))
-                    for i in range(most):
-                        total += grown[m * most + i].predict(block.x[held], equality, d)
-                        if i + 1 in trees:
-                            rows.append((criterion, d, i + 1, f, len(held), float(np.abs(total / (i + 1) - block.y[held]).sum())))
+                means = predictions(block.x[held], m) if profiles is None else ((d, n, mean[places[held]]) for d, n, mean in known[m])
+                rows += [(criterion, d, n, f, len(held), float(np.abs(mean - block.y[held]).sum())) for d, n, mean in means]
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["criterion", "depth", "trees", "fold", "n", "error"]).astype(
             {"criterion": str, "depth": "int32", "trees": "int32", "fold": "int32", "n": "int64", "error": float}), preserve_index=False)
 
@@ -387,6 +471,67 @@ def forest_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[st
     return Forest(encoder, chosen, int(best["depth"]), str(best["criterion"]), table.reset_index(drop=True))
 
 
+def _forest_trees(blocks: DataFrame, profiles: Profiles, models: list[tuple[str, int]], most: int, depth: int, folds: int, seed: int,
+                  weights_of: Callable[[Block, int], np.ndarray]) -> dict[int, Tree]:
+    """All trees of a forest search from the sums of each cell vector, per bootstrap and fold."""
+    width, count, encoder = profiles.x.shape[1], len(profiles.x), profiles.encoder
+    size = count * folds
+    room = max(1, SCAN_BYTES // (size * 24))
+    made: dict[int, Tree] = {}
+    for s in range(0, most, room):
+        some = range(s, min(s + room, most))
+
+        def add(batches, some=some):
+            totals: dict[int, np.ndarray] = {}
+            for block in _blocks(batches, width):
+                place = profiles.places(block.x) * folds + block.folds(folds, seed)
+                for i in some:
+                    w = weights_of(block, i)
+                    at = place[w > 0]
+                    sums = np.stack([np.bincount(at, minlength=size), np.bincount(place, w, size), np.bincount(place, w * block.y, size)], axis=1).astype(float)
+                    totals[i] = totals[i] + sums if i in totals else sums
+            for i, sums in totals.items():
+                held = np.flatnonzero(sums[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([held.astype(np.int32).tobytes()], pa.binary()),
+                                                  pa.array([sums[held].tobytes()], pa.binary())], ["tree", "at", "sums"])
+
+        def build(batches):
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, at, sums in zip(*(batch[c].to_pylist() for c in ("tree", "at", "sums")), strict=True):
+                    totals.setdefault(i, np.zeros((size, 3)))[np.frombuffer(at, np.int32)] += np.frombuffer(sums).reshape(-1, 3)
+            for i, sums in totals.items():
+                by_fold = sums.reshape(count, folds, 3)
+                for m, (criterion, f) in enumerate(models):
+                    part = by_fold[:, [g for g in range(folds) if g != f]].sum(axis=1)
+                    held = part[:, 0] > 0
+                    tree = grow_on(profiles.x[held], part[held], depth, Rules(criterion), encoder)
+                    yield pa.RecordBatch.from_arrays([pa.array([m * most + i], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (tree.column, tree.cut, tree.value)]],
+                                                     ["tree", "columns", "cuts", "values"])
+
+        packed = blocks.mapInArrow(add, "tree int, at binary, sums binary")
+        tasks = blocks.sparkSession.sparkContext.defaultParallelism
+        for r in packed.repartition(tasks, "tree").mapInArrow(build, "tree int, columns binary, cuts binary, values binary").collect():
+            made[r["tree"]] = Tree(depth, np.frombuffer(r["columns"], np.int16), np.frombuffer(r["cuts"], np.int32), np.frombuffer(r["values"]))
+    return made
+
+
+def _forest_means(spark, profiles: Profiles, models: list[tuple[str, int]], predictions: Callable) -> dict[int, list]:
+    """Per model with a fold: (depth, trees, mean prediction of every cell vector); a task serves one model."""
+    def run(batches):
+        for batch in batches:
+            for m in batch["id"].to_pylist():
+                if models[m][1] >= 0:
+                    for d, n, mean in predictions(profiles.x, m):
+                        yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([d], pa.int32()), pa.array([n], pa.int32()), pa.array([mean.tobytes()], pa.binary())],
+                                                         ["model", "depth", "trees", "means"])
+
+    known: dict[int, list] = {}
+    for r in spark.range(0, len(models), 1, len(models)).mapInArrow(run, "model int, depth int, trees int, means binary").collect():
+        known.setdefault(r["model"], []).append((r["depth"], r["trees"], np.frombuffer(r["means"])))
+    return known
+
+
 # -------------------------------------------------------------------- boosting
 
 @dataclass
@@ -455,9 +600,8 @@ def boosting_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[
         raise ValueError("boosting needs rows of two classes or more")
     encoder = Encoder.fit(df, numeric, categories, bins)
     blocks = pack(df, encoder, label, classes)
-    wide, width, equality = (1 if len(classes) == 2 else len(classes)), len(encoder.starts) - 1, encoder.equality
+    wide, width = (1 if len(classes) == 2 else len(classes)), len(encoder.starts) - 1
     models = [(d, f) for d in range(len(settings)) for f in (*range(folds), -1)]
-    factor = 1.0 if wide == 1 else (wide - 1) / wide
 
     def seen(batches):
         for block in _blocks(batches, width):
@@ -476,6 +620,27 @@ def boosting_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[
         return share[1:] - share[0] if wide == 1 else share
 
     starts = np.stack([prior(f) for _, f in models])
+    profiles = find_profiles(blocks, encoder, PROFILES)
+    if profiles is None:
+        sums, rounds_of = _boost_by_scans(blocks, encoder, models, settings, starts, len(classes), folds, seed)
+    else:
+        sums, rounds_of = _boost_on_profiles(blocks, profiles, models, settings, starts, len(classes), folds, seed)
+    sums["draw"] = [models[m][0] for m in sums["model"]]
+    sums["accuracy"] = sums["hit"] / sums["n"]
+    table = sums.groupby("draw", as_index=False)["accuracy"].mean().sort_values(["accuracy", "draw"], ascending=[False, True])
+    best = int(table.iloc[0]["draw"])
+    m = models.index((best, -1))
+    rounds = rounds_of(m)
+    for name in ("trees", "rate", "depth", "split", "leaf"):
+        table[name] = [getattr(settings[int(d)], name) for d in table["draw"]]
+    return Boosting(encoder, list(classes), starts[m], rounds, settings[best], table.reset_index(drop=True))
+
+
+def _boost_by_scans(blocks: DataFrame, encoder: Encoder, models: list[tuple[int, int]], settings: list[Setting], starts: np.ndarray, classes: int, folds: int,
+                    seed: int) -> tuple[pd.DataFrame, Callable[[int], list[list[Tree]]]]:
+    """(model, rows and hits of its held-out fold) and the trees of a model; all models advance in the same scans of the rows."""
+    wide, width, equality = starts.shape[1], len(encoder.starts) - 1, encoder.equality
+    factor = 1.0 if wide == 1 else (wide - 1) / wide
     rates_of = [settings[d].rate for d, _ in models]
     history: list[dict[int, Tree]] = []  # one entry a round: number of model and class -> tree
     kept = 0  # rounds whose scores are written with the rows
@@ -539,15 +704,65 @@ def boosting_search(df: DataFrame, numeric: Sequence[str], categories: Sequence[
         return run
 
     sums = blocks.mapInArrow(hits(history[kept:]), "model bigint, n bigint, hit bigint").groupBy("model").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).filter("n > 0").toPandas()
-    sums["draw"] = [models[m][0] for m in sums["model"]]
-    sums["accuracy"] = sums["hit"] / sums["n"]
-    table = sums.groupby("draw", as_index=False)["accuracy"].mean().sort_values(["accuracy", "draw"], ascending=[False, True])
-    best = int(table.iloc[0]["draw"])
-    m = models.index((best, -1))
-    rounds = [[trees_of[m * wide + k] for k in range(wide)] for trees_of in history[:settings[best].trees]]
-    for name in ("trees", "rate", "depth", "split", "leaf"):
-        table[name] = [getattr(settings[int(d)], name) for d in table["draw"]]
-    return Boosting(encoder, list(classes), starts[m], rounds, settings[best], table.reset_index(drop=True))
+    return sums, lambda m: [[trees_of[m * wide + k] for k in range(wide)] for trees_of in history[:settings[models[m][0]].trees]]
+
+
+def _boost_on_profiles(blocks: DataFrame, profiles: Profiles, models: list[tuple[int, int]], settings: list[Setting], starts: np.ndarray, classes: int, folds: int,
+                       seed: int) -> tuple[pd.DataFrame, Callable[[int], list[list[Tree]]]]:
+    """As `_boost_by_scans`, from the rows of each cell vector, fold and class; a task serves one model."""
+    wide, width, encoder, equality = starts.shape[1], profiles.x.shape[1], profiles.encoder, profiles.encoder.equality
+    factor, size = 1.0 if wide == 1 else (wide - 1) / wide, folds * classes
+    x = profiles.x
+
+    def count(batches):
+        total = np.zeros(len(x) * size, np.int64)
+        for block in _blocks(batches, width):
+            total += np.bincount((profiles.places(block.x) * folds + block.folds(folds, seed)) * classes + block.y.astype(np.int64), minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["place", "n"])
+
+    found = blocks.mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(x) * size)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    counts = counts.reshape(len(x), folds, classes)
+
+    def learn(m: int) -> tuple[list[list[Tree]], np.ndarray]:
+        (draw, fold), setting = models[m], settings[models[m][0]]
+        rules = Rules("gradient", setting.split, setting.leaf, factor)
+        per_class = counts[:, [f for f in range(folds) if f != fold]].sum(axis=1)
+        rows = per_class.sum(axis=1)
+        seen, raw, rounds = rows > 0, np.tile(starts[m], (len(x), 1)), []
+        for _ in range(setting.trees):
+            p, grown = probabilities(raw)[:, -wide:], []
+            for k in range(wide):
+                sums = np.stack([rows, rows * p[:, k] * (1 - p[:, k]), per_class[:, k + (wide == 1)] - rows * p[:, k]], axis=1)
+                grown.append(grow_on(x[seen], sums[seen], setting.depth, rules, encoder))
+            for k, tree in enumerate(grown):
+                raw[:, k] += setting.rate * tree.predict(x, equality)
+            rounds.append(grown)
+        return rounds, raw
+
+    def run(batches):
+        for batch in batches:
+            for m in batch["id"].to_pylist():
+                fold = models[m][1]
+                rounds, raw = learn(m)
+                if fold >= 0:
+                    guess = probabilities(raw).argmax(axis=1)
+                    n, hit, kept = int(counts[:, fold].sum()), int(counts[np.arange(len(x)), fold, guess].sum()), None
+                else:
+                    n, hit, kept = 0, 0, np.concatenate([np.concatenate([t.column, t.cut, t.value]) for grown in rounds for t in grown]).astype(float).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([n], pa.int64()), pa.array([hit], pa.int64()), pa.array([kept], pa.binary())], ["model", "n", "hit", "trees"])
+
+    made = blocks.sparkSession.range(0, len(models), 1, len(models)).mapInArrow(run, "model bigint, n bigint, hit bigint, trees binary").collect()
+    packed = {r["model"]: r["trees"] for r in made if r["trees"] is not None}
+
+    def rounds_of(m: int) -> list[list[Tree]]:
+        setting = settings[models[m][0]]
+        parts = np.frombuffer(packed[m]).reshape(setting.trees, wide, 3, -1)
+        return [[Tree(setting.depth, column.astype(np.int16), cut.astype(np.int32), value) for column, cut, value in grown] for grown in parts]
+
+    return pd.DataFrame([(r["model"], r["n"], r["hit"]) for r in made if r["n"] > 0], columns=["model", "n", "hit"]), rounds_of
 
 
 def inputs(df: DataFrame, label: str, drop: Sequence[str] = ()) -> tuple[list[str], list[str]]:
