@@ -20,9 +20,12 @@ from synthframe.functions.frames import long_form, spread
 from synthframe.functions.quantiles import exact_quantiles
 from synthframe.functions.rng import hash_uniform
 from synthframe.operators import dependence
-from synthframe.operators.mixture import JointMixture, joint_em, positive_definite
+from synthframe.operators.mixture import ROWS, SAVING, JointMixture, joint_em, positive_definite
+from synthframe.session import written
 
 FEATURES = "__features"
+#: KMeans starts of joint mixtures run on the different rows and their counts from this length on, where that saves scanning.
+MERGE_FROM = 1_000_000
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -260,16 +263,48 @@ def start_from_labels(labelled: DataFrame, columns: Sequence[str], k: int, clust
         np.stack([positive_definite(cov[g] if means[g]["__n"] > d else pooled) for g in labels]))
 
 
+def start_from_counts(counted: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> JointMixture:
+    """The start of `start_from_labels` on KMeans clusters of k, from different rows and their counts (column ROWS)."""
+    columns, d = list(columns), len(columns)
+    features = assemble(counted, columns)
+    if k > 1:
+        model = KMeans(k=k, seed=seed, maxIter=20, featuresCol=FEATURES, predictionCol="cluster", weightCol=ROWS).fit(features)
+        labelled, centres = model.transform(features), np.array(model.clusterCenters())
+    else:
+        row = counted.agg(*[(F.sum(F.col(c) * F.col(ROWS)) / F.sum(ROWS)).alias(c) for c in columns]).first()
+        labelled, centres = features.withColumn("cluster", F.lit(0)), np.array([[row[c] for c in columns]])
+    near = F.array(*[F.array(*[F.lit(float(v)) for v in line]) for line in centres])
+    gaps = [F.col(c) - F.get(F.get(near, F.col("cluster")), F.lit(i)) for i, c in enumerate(columns)]
+    parts = [F.sum(ROWS).alias("n"), *[F.sum(g * F.col(ROWS)).alias(f"s{i}") for i, g in enumerate(gaps)]]
+    parts += [F.sum(gaps[i] * gaps[j] * F.col(ROWS)).alias(f"s{i}_{j}") for i in range(d) for j in range(d)]
+    sums = labelled.groupBy("cluster").agg(*parts).orderBy("cluster").collect()
+    sizes = np.array([float(r["n"]) for r in sums])
+    first = np.array([[r[f"s{i}"] for i in range(d)] for r in sums]) / sizes[:, None]
+    second = np.array([[[r[f"s{i}_{j}"] for j in range(d)] for i in range(d)] for r in sums])
+    cov = (second - sizes[:, None, None] * first[:, :, None] * first[:, None, :]) / np.maximum(sizes - 1, 1)[:, None, None]
+    pooled = np.einsum("g,gij->ij", sizes / sizes.sum(), cov)
+    return JointMixture(columns, sizes / sizes.sum(), centres[[r["cluster"] for r in sums]] + first,
+                        np.stack([positive_definite(c if n > d else pooled) for c, n in zip(cov, sizes, strict=True)]))
+
+
 def mixtures_from_kmeans(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 0,
                          max_iter: int = 50) -> dict[int, JointMixture]:
     """K3, D3: joint mixtures for several k, each started from its KMeans clusters."""
-    held = spread(df.select(*[F.col(c).cast("double").alias(c) for c in columns])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sizes = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+    merged = sizes[0] >= max(MERGE_FROM, SAVING * sizes[1])
+    if merged:
+        rows = written(rows.groupBy(*columns).agg(F.count("*").alias(ROWS)), "mixture-rows")
+    held = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         starts = {}
         for k in ks:
+            if merged:
+                starts[k] = start_from_counts(held, columns, k, seed)
+                continue
             labelled, _ = kmeans_labels(held, columns, k, seed)
             starts[k] = start_from_labels(labelled, columns, k)
-        return joint_em(held, starts, max_iter)
+        return joint_em(held, starts, max_iter, weight=ROWS if merged else None)
     finally:
         held.unpersist()
 

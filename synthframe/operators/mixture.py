@@ -286,17 +286,28 @@ class JointMixture:
 
 def log_densities(x: np.ndarray, model: JointMixture) -> np.ndarray:
     """log(weight * density) of every row under every component."""
-    out = np.empty((len(x), model.k))
-    d = x.shape[1]
-    for j in range(model.k):
-        factor = np.linalg.cholesky(model.covariances[j])
-        y = np.linalg.solve(factor, (x - model.means[j]).T)
-        half_log_det = np.log(np.diag(factor)).sum()
-        out[:, j] = (math.log(max(model.weights[j], 1e-300)) - half_log_det
-                     - 0.5 * (d * math.log(2 * math.pi) + (y * y).sum(axis=0)))
+    return densities_by_component(np.ascontiguousarray(x.T), model).T
+
+
+def densities_by_component(columns: np.ndarray, model: JointMixture) -> np.ndarray:
+    """As `log_densities`, one line a component: long lines add up much faster than short ones."""
+    d, centre = len(columns), model.means.mean(axis=0)
+    inverse = np.linalg.inv(np.linalg.cholesky(model.covariances))
+    shift = np.einsum("jab,jb->aj", inverse, model.means - centre)
+    level = np.log(np.maximum(model.weights, 1e-300)) + np.log(np.diagonal(inverse, axis1=1, axis2=2)).sum(axis=1) - 0.5 * d * math.log(2 * math.pi)
+    centred, out = columns - centre[:, None], np.zeros((model.k, columns.shape[1]))
+    for a in range(d):
+        y = inverse[:, a] @ centred
+        y -= shift[a][:, None]
+        y *= y
+        out += y
+    out *= -0.5
+    out += level[:, None]
     return out
 
 
+#: Column with the number of equal rows that a row stands for; equal rows are merged where there are SAVING times as many rows as different ones.
+ROWS, SAVING = "__rows", 4
 STATISTICS = "model int, lane int, sums array<double>"
 #: Executor cores that share one lane of the first merging level, and the most lanes there are.
 CORES_PER_LANE, MOST_LANES = 16, 64
@@ -309,18 +320,21 @@ class Expectation:
         self.models, self.columns, self.totals = models, list(columns), {}
 
     def add(self, pdf: pd.DataFrame) -> None:
-        x = pdf[self.columns].to_numpy(dtype=float)
-        x = x[np.isfinite(x).all(axis=1)]
+        x, w = pdf[self.columns].to_numpy(dtype=float), pdf[ROWS].to_numpy(dtype=float)
+        whole = np.isfinite(x).all(axis=1)
+        x, w = x[whole], w[whole]
         if not len(x):
             return
+        powers = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], axis=1)
+        columns = np.ascontiguousarray(x.T)
         for key, model in self.models.items():
-            lp = log_densities(x, model)
-            top = lp.max(axis=1, keepdims=True)
-            norm = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
-            r = np.exp(lp - norm[:, None])
-            outer = np.stack([(x * r[:, j:j + 1]).T @ x for j in range(model.k)]).reshape(model.k, -1)
-            stats = np.concatenate([r.sum(axis=0)[:, None], r.T @ x, outer], axis=1)
-            self.totals[key] = self.totals.get(key, 0.0) + np.append(stats.ravel(), norm.sum())
+            r = densities_by_component(columns, model)
+            top = r.max(axis=0)
+            r -= top
+            np.exp(r, out=r)
+            total = r.sum(axis=0)
+            r *= w / total
+            self.totals[key] = self.totals.get(key, 0.0) + np.append((r @ powers).ravel(), w @ (top + np.log(total)))
 
 
 def _merged(batches):
@@ -366,12 +380,13 @@ def maximise(sums: dict[int, np.ndarray], active: dict[int, JointMixture], done:
 
 def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50, tol: float = 1e-3,
              owner: dict[int, int] | None = None, cluster: str | None = None,
-             lanes: int | None = None) -> dict[int, JointMixture]:
+             lanes: int | None = None, weight: str | None = None) -> dict[int, JointMixture]:
     """K3, D3: EM from given starts; all models share one scan per iteration.
 
     Each task folds its rows into one packed row of sufficient statistics per model;
     these are merged in levels (`lanes` of tasks, then models), so the driver receives
-    one row per model and iteration.  With `owner`, model `key` only sees the rows whose
+    one row per model and iteration.  Columns with few values are scanned as their
+    different rows and counts; `weight` names the counts of a table that holds them.  With `owner`, model `key` only sees the rows whose
     `cluster` is `owner[key]`.  `df` is scanned once an iteration: persist it first.
     """
     active, done = dict(starts), {}
@@ -379,6 +394,13 @@ def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50,
     lanes = lanes or min(MOST_LANES, max(1, df.sparkSession.sparkContext.defaultParallelism // CORES_PER_LANE))
     keep = [F.col(cluster).cast("int").alias("__g")] if owner else []
     rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    sizes = (0, 1) if weight else rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*rows.columns))).first()
+    if weight:
+        rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns], F.col(weight).alias(ROWS))
+    elif sizes[0] >= SAVING * max(sizes[1], 1):
+        rows = spread(written(rows.groupBy(*rows.columns).agg(F.count("*").alias(ROWS)), "mixture-rows"))
+    else:
+        rows = rows.withColumn(ROWS, F.lit(1))
     for _ in range(max_iter):
         if not active:
             break
