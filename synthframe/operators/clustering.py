@@ -34,7 +34,9 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_kmeans(features: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=FEATURES, predictionCol="cluster").fit(features)
+    """KMeans on a view of `features`: of a persisted table itself it would decode every row again in each of its passes."""
+    view = features.select(FEATURES, F.lit(1.0).alias(ROWS))
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=FEATURES, predictionCol="cluster").fit(view)
 
 
 def kmeans_labels(df: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
