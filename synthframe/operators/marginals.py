@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from synthframe.functions import special
-from synthframe.functions.frames import long_form, spread
-from synthframe.functions.scan import ROWS_PER_BUCKET, running_sum
+from synthframe.functions.frames import spread
+from synthframe.functions.scan import ROWS_PER_BUCKET
 
 # The candidate families, in the order that settles ties.
 FAMILIES = ("norm", "uniform", "beta", "expon", "truncnorm")
@@ -181,35 +185,81 @@ def _normal(column: str, f: dict) -> Marginal:
                     f["sd_sample"] or 1.0, f.get("a") or 1.0, f.get("b") or 1.0, n=f["n"])
 
 
+#: Bins of `ks_distances`: at most so many a column and in all, of about so many rows; shorter tables are one bin.
+KS_BINS, MOST_BINS, ROWS_PER_BIN, ONE_BIN = 16_384, 400_000, 512, 250_000
+#: Computed distribution functions may fall by rounding; so much is left between bounds.
+KS_SLACK = 1e-9
+
+
+def _binned(narrow: DataFrame, columns: Sequence[str], n: int, bins: int) -> DataFrame:
+    """(cluster, column, bin, value) of all values; bins ascend with the values, NaN is in the last.
+
+    Cuts come from the rows whose hash is small.  They decide how rows are grouped, not
+    what is found.
+    """
+    spans, made = [F.lit(0)] * len(columns), narrow
+    if bins > 1:
+        few = F.pmod(F.xxhash64(*columns), F.lit(2 ** 40)) < F.lit(min(1.0, 4 * bins / n) * 2 ** 40)
+        sample = narrow.select(*columns).filter(few).distinct().limit(16 * bins).toPandas()
+        for i, c in enumerate(columns):
+            values = sample[c].dropna().to_numpy(dtype=float)
+            values = np.unique(values[np.isfinite(values)])
+            cuts = values[::max(1, -(-len(values) // bins))].tolist()
+            if cuts:
+                cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=c, outputCol=f"__bin{i}", handleInvalid="keep")
+                made, spans[i] = cut.transform(made), F.col(f"__bin{i}").cast("int")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), s.alias("bin"), F.col(c).alias("value")) for c, s in zip(columns, spans)]))
+    return made.select("cluster", cells.alias("cell")).select("cluster", "cell.*").filter("value IS NOT NULL")
+
+
+def _with_families(df: DataFrame, value: str, families: Sequence[str], suffix: str = "") -> DataFrame:
+    """Add `<family><suffix>`, the distribution functions at a column under the parameters of the row."""
+    x = F.col(value)
+    terms = {f: standard_term(f, x, F.col) for f in families}
+    bound = df.select("*", *[z.alias(f"__z_{f}{suffix}") for f, z in terms.items() if z is not None])
+    return bound.select("*", *[family_cdf(f, x, F.col, F.col(f"__z_{f}{suffix}") if terms[f] is not None else None).alias(f"{f}{suffix}")
+                               for f in families])
+
+
 def ks_distances(df: DataFrame, facts: dict, columns: Sequence[str], families: Sequence[str],
                  cluster: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(cluster, column, family...) one-sample KS statistics.
+    """(cluster, column, family...) one-sample KS statistics, exact.
 
-    Rows are first reduced to one per distinct value (map-side), then ranked by the
-    bucketed running sum; every family is evaluated in the same pass.
+    Values are grouped into bins whose rows are counted.  As every distribution function
+    rises, its values at the ends of a bin bound the distances inside it, and the distances
+    at the ends are among those sought.  Only bins that may hold the largest distance of
+    some family are then ranked value by value; every family is evaluated in the same pass.
     """
     group = ["cluster", "column"]
     label = F.col(cluster) if cluster else F.lit(0)
-    narrow = spread(df.select(label.cast("bigint").alias("cluster"), *columns))
-    cells = long_form(narrow, columns, keep=("cluster",))
-    counts = (cells.filter(F.col("value").isNotNull()).groupBy(*group, "value")
-              .agg(F.count("*").alias("k")))
-    known = sum(f["n"] for (_, c), f in facts.items() if c in columns)
-    ranked = running_sum(counts, ["value"], "k", groups=tuple(group), rows_per_bucket=rows_per_bucket, at_most=known)
+    narrow = spread(df.select(label.cast("bigint").alias("cluster"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    sizes = [sum(f["n"] for (_, c), f in facts.items() if c == one) for one in columns]
+    many = min(KS_BINS, max(64, MOST_BINS // max(len(facts), 1)))
+    bins = 1 if sum(sizes) <= min(rows_per_bucket, ONE_BIN) else min(many, math.ceil(max(sizes) / min(rows_per_bucket, ROWS_PER_BIN)))
+    cells = _binned(narrow, columns, max(sizes), bins)
     rows = [(g or 0, c, f["n"], *[float(getattr(_normal(c, f), k)) for k in PARAMETERS])
             for (g, c), f in facts.items() if c in columns and f["n"]]
-    table = df.sparkSession.createDataFrame(
-        rows, "cluster bigint, column string, n bigint, " + ", ".join(f"{k} double" for k in PARAMETERS))
-    joined = ranked.join(F.broadcast(table), group)  # one row per cluster and column
-    x = F.col("value")
-    terms = {f: standard_term(f, x, F.col) for f in families}
-    bound = joined.select("*", *[z.alias(f"__z_{f}") for f, z in terms.items() if z is not None])
-    fitted = bound.select(*group, (F.col("k_before") / F.col("n")).alias("below"),
-                          (F.col("k_cum") / F.col("n")).alias("upto"),
-                          *[family_cdf(f, x, F.col, F.col(f"__z_{f}") if terms[f] is not None else None).alias(f)
-                            for f in families])
-    return fitted.groupBy(*group).agg(
-        *[F.max(F.greatest(F.col(f) - F.col("below"), F.col("upto") - F.col(f))).alias(f) for f in families])
+    table = F.broadcast(df.sparkSession.createDataFrame(  # one row per cluster and column
+        rows, "cluster bigint, column string, n bigint, " + ", ".join(f"{k} double" for k in PARAMETERS)))
+    before = F.lit(0).cast("bigint")
+    if bins > 1:
+        everything = W.partitionBy(*group)
+        tall = (cells.groupBy(*group, "bin").agg(F.count("*").alias("k"), F.min("value").alias("low"), F.max("value").alias("high"))
+                .withColumn("upto", F.sum("k").over(everything.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))))
+        ends = _with_families(_with_families(tall.join(table, group), "low", families, "_low"), "high", families, "_high")
+        first, last = (F.col("upto") - F.col("k")) / F.col("n"), F.col("upto") / F.col("n")
+        reached = [F.max(F.greatest(F.col(f"{f}_low") - first, last - F.col(f"{f}_high"))).over(everything) for f in families]
+        most = [F.greatest(F.col(f"{f}_high") - first, last - F.col(f"{f}_low")) for f in families]
+        open_ = [F.coalesce(m + KS_SLACK >= r, F.lit(True)) for m, r in zip(most, reached, strict=True)]
+        found = ends.select(*group, "bin", (F.col("upto") - F.col("k")).alias("before"), reduce(Column.__or__, open_).alias("open"))
+        cells = cells.join(F.broadcast(found.filter("open").groupBy(*group, "bin").agg(F.max("before").alias("before"))), [*group, "bin"])
+        before = F.col("before")
+    counts = cells.withColumn("before", before).groupBy(*group, "bin", "before", "value").agg(F.count("*").alias("k"))
+    inside = W.partitionBy(*group, "bin").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.withColumn("k_cum", F.col("before") + F.sum("k").over(inside))
+    fitted = _with_families(ranked.join(table, group), "value", families)
+    below, upto = (F.col("k_cum") - F.col("k")) / F.col("n"), F.col("k_cum") / F.col("n")
+    return fitted.groupBy(*group).agg(*[F.max(F.greatest(F.col(f) - below, upto - F.col(f))).alias(f) for f in families])
 
 
 def fit_marginals(df: DataFrame, columns: Sequence[str], cluster: str | None = None,

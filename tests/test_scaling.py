@@ -1,8 +1,19 @@
 """Steps that are repeated over long tables: what they read, and that their results stay exact."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from synthframe.operators import clustering
+from synthframe.functions import special
+from synthframe.functions.rng import hash_uniform
+from synthframe.operators import clustering, marginals
+
+
+def normal_table(spark, n, **columns):
+    """Independent normals; each keyword gives (mean, sd)."""
+    z = special.with_norm_ppf(spark.range(n), {c: hash_uniform(F.col("id"), c, 5) for c in columns})
+    return z.select("id", *[(F.col(c) * sd + mean).alias(c) for c, (mean, sd) in columns.items()])
 
 
 def test_kmeans_gets_a_table_that_it_keeps_itself(spark, monkeypatch):
@@ -19,3 +30,33 @@ def test_kmeans_gets_a_table_that_it_keeps_itself(spark, monkeypatch):
     clustering.kmeans_labels(df, ["x", "y"], 3)
     assert len(found) == 4 and not any(level.useMemory or level.useDisk for level in found)
     assert k == 2 and costs[3] < 20 < costs[2]
+
+
+def test_ks_ranks_only_bins_that_may_hold_the_largest_distance(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def watched(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return pd.Series(special.np_beta_cdf(x.to_numpy(), a.to_numpy(), b.to_numpy()))
+
+    n, families = 20_000, ["norm", "uniform", "beta", "expon", "truncnorm"]
+    df = normal_table(spark, n, a=(5.0, 1.0)).select(F.exp(F.col("a") / 4).alias("a"), (F.col("id") % 2).alias("g")).cache()
+    facts = {(m["cluster"], m["column"]): {**m, "a": 2.0, "b": 5.0} for m in marginals.moments(df, ["a"], "g")}
+    want = marginals.ks_distances(df, facts, ["a"], families, "g").orderBy("cluster").collect()
+    monkeypatch.setattr(special, "beta_cdf", watched)
+    got = marginals.ks_distances(df, facts, ["a"], families, "g", rows_per_bucket=100).orderBy("cluster").collect()
+    assert [r["cluster"] for r in got] == [0, 1] and 0 < seen.value < n / 2
+    for a, b in zip(got, want, strict=True):
+        assert [a[f] for f in families] == pytest.approx([b[f] for f in families], abs=1e-12)
+
+
+def test_binned_ks_with_missing_values_ties_and_nan(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 10 != 0, F.sqrt(F.col("id") * 1.0)).alias("a"), F.least(F.col("id"), F.lit(4000)).cast("double").alias("t"),
+                                  F.when(F.col("id") % 50 == 0, float("nan")).otherwise(F.col("id") * 1.0).alias("n")).cache()
+    facts = {(None, m["column"]): m for m in marginals.moments(df.fillna(0.0, ["n"]), ["a", "t", "n"])}
+    one, many = ({r["column"]: r for r in marginals.ks_distances(df, facts, ["a", "t", "n"], ["norm", "uniform"], rows_per_bucket=size).collect()}
+                 for size in (10 ** 6, 50))
+    for c in ("a", "t", "n"):
+        for f in ("norm", "uniform"):
+            assert many[c][f] == pytest.approx(one[c][f], abs=1e-12)
