@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthframe.functions import special
+from synthframe.functions.blocks import packed, unpacked
 from synthframe.functions.frames import long_form, spread
 from synthframe.operators.marginals import MIXTURE, Marginal
 from synthframe.session import written
@@ -116,38 +118,43 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _responsibilities(x: np.ndarray, w: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shares, distances to the means, log density) of values under a mixture."""
-    gap = x[:, None] - mean
-    log_p = np.log(w) - 0.5 * np.log(2 * math.pi * var) - gap * gap / (2 * var)
-    top = log_p.max(axis=1, keepdims=True)
-    share = np.exp(log_p - top)
-    whole = share.sum(axis=1, keepdims=True)
-    return share / whole, gap, top[:, 0] + np.log(whole[:, 0])
+    """(shares, distances to the means, log density) of values under a mixture, one line a component."""
+    gap = x - mean[:, None]
+    share = gap * gap
+    share *= (-0.5 / var)[:, None]
+    share += (np.log(w) - 0.5 * np.log(2 * math.pi * var))[:, None]
+    top = share.max(axis=0)
+    share -= top
+    np.exp(share, out=share)
+    whole = share.sum(axis=0)
+    share /= whole
+    return share, gap, top + np.log(whole)
 
 
 def _expectation(counts: DataFrame, models: dict) -> dict:
     """Sums of one E-step of every model: mass, first and second moments about the means, log likelihood.
 
-    One scan serves all columns and sizes; a task sends one packed row per model.
+    `counts` holds blocks of values and their rows.  One scan serves all columns and
+    sizes; a task sends one packed row per model.
     """
     def scan(batches):
         sums: dict = {}
-        for pdf in batches:
-            for column, part in pdf.groupby("column", sort=False):
-                x, n = part["value"].to_numpy(), part["n"].to_numpy(dtype=float)
-                for k, (w, mean, var) in models.get(column, {}).items():
-                    r, gap, density = _responsibilities(x, w, mean, var)
-                    r *= n[:, None]
-                    packed = np.concatenate([r.sum(0), (r * gap).sum(0), (r * gap * gap).sum(0), [(n * density).sum()]])
-                    sums[column, k] = sums.get((column, k), 0.0) + packed
+        for column, (x, n) in unpacked(batches):
+            for k, (w, mean, var) in models.get(column, {}).items():
+                r, gap, density = _responsibilities(x, w, mean, var)
+                r *= n
+                first = r * gap
+                packed_sums = np.concatenate([r.sum(1), first.sum(1), np.einsum("ij,ij->i", first, gap), [n @ density]])
+                sums[column, k] = sums.get((column, k), 0.0) + packed_sums
         if sums:
-            yield pd.DataFrame({"column": [c for c, _ in sums], "k": [k for _, k in sums], "sums": list(sums.values())})
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sums]), pa.array([k for _, k in sums], pa.int32()),
+                                              pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["column", "k", "sums"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"column": [key[0]], "k": [key[1]], "sums": [np.sum(np.stack(list(pdf["sums"])), axis=0)]})
 
     schema = "column string, k int, sums array<double>"
-    rows = counts.mapInPandas(scan, schema).groupBy("column", "k").applyInPandas(add, schema).collect()
+    rows = counts.mapInArrow(scan, schema).groupBy("column", "k").applyInPandas(add, schema).collect()
     return {(r["column"], r["k"]): np.array(r["sums"]) for r in rows}
 
 
@@ -156,8 +163,9 @@ def exact_mixtures(counts: DataFrame, starts: dict, totals: dict, tolerance: flo
     """EM over all values from `starts` {(column, k): (weights, means, variances)}.
 
     Returns {(column, k): (weights, means, variances, log likelihood)}; every scan
-    advances all models that still move.
+    advances all models that still move.  Values are packed into blocks once.
     """
+    counts = spread(written(packed(counts, ["value", "n"], "column"), "mixture-values"))
     moving, last, done = dict(starts), {}, {}
     for scan in range(scans):
         models: dict = {}
@@ -173,8 +181,8 @@ def exact_mixtures(counts: DataFrame, starts: dict, totals: dict, tolerance: flo
             last[column, k] = likelihood
             mass = sums[:size] + 1e-10
             step = sums[size:2 * size] / mass
-            spread = sums[2 * size:3 * size] / mass - step * step
-            moving[column, k] = (mass / mass.sum(), mean + step, np.maximum(spread, 0.0) + VARIANCE_FLOOR)
+            width = sums[2 * size:3 * size] / mass - step * step
+            moving[column, k] = (mass / mass.sum(), mean + step, np.maximum(width, 0.0) + VARIANCE_FLOOR)
         if not moving:
             break
     return done
@@ -195,8 +203,7 @@ def mixture_candidates(df: DataFrame, columns: Sequence[str], max_components: in
     totals = {column: parts[0]["n"] for (column, _), parts in found.items()}
     rows = []
     if starts:
-        counts = spread(written(value_counts(df, columns), "mixture-values"))
-        for (column, k), (w, mean, var, likelihood) in exact_mixtures(counts, starts, totals).items():
+        for (column, k), (w, mean, var, likelihood) in exact_mixtures(value_counts(df, columns), starts, totals).items():
             n, size = totals[column], len(w)
             bic = -2 * likelihood + (3 * size - 1) * math.log(n)
             rows += [(column, k, i, float(w[j]), float(mean[j]), float(math.sqrt(var[j])), likelihood, n, bic)
@@ -319,14 +326,10 @@ class Expectation:
     def __init__(self, models: dict[int, JointMixture], columns: Sequence[str]):
         self.models, self.columns, self.totals = models, list(columns), {}
 
-    def add(self, pdf: pd.DataFrame) -> None:
-        x, w = pdf[self.columns].to_numpy(dtype=float), pdf[ROWS].to_numpy(dtype=float)
-        whole = np.isfinite(x).all(axis=1)
-        x, w = x[whole], w[whole]
-        if not len(x):
-            return
-        powers = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], axis=1)
-        columns = np.ascontiguousarray(x.T)
+    def add(self, columns: np.ndarray, w: np.ndarray) -> None:
+        """Finite rows, one line a column, and how many rows each stands for."""
+        d, n = columns.shape
+        powers = np.concatenate([np.ones((1, n)), columns, (columns[:, None] * columns[None]).reshape(d * d, n)]).T
         for key, model in self.models.items():
             r = densities_by_component(columns, model)
             top = r.max(axis=0)
@@ -387,7 +390,7 @@ def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50,
     these are merged in levels (`lanes` of tasks, then models), so the driver receives
     one row per model and iteration.  Columns with few values are scanned as their
     different rows and counts; `weight` names the counts of a table that holds them.  With `owner`, model `key` only sees the rows whose
-    `cluster` is `owner[key]`.  `df` is scanned once an iteration: persist it first.
+    `cluster` is `owner[key]`.  Rows are packed into blocks once, which every iteration scans.
     """
     active, done = dict(starts), {}
     columns = next(iter(starts.values())).columns
@@ -401,28 +404,37 @@ def joint_em(df: DataFrame, starts: dict[int, JointMixture], max_iter: int = 50,
         rows = spread(written(rows.groupBy(*rows.columns).agg(F.count("*").alias(ROWS)), "mixture-rows"))
     else:
         rows = rows.withColumn(ROWS, F.lit(1))
+    blocks = packed(rows, [*columns, ROWS], "__g" if owner else None).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _advance(blocks, active, done, max_iter, tol, lanes, owner)
+    finally:
+        blocks.unpersist()
+    done.update(active)
+    return done
+
+
+def _advance(blocks: DataFrame, active: dict, done: dict, max_iter: int, tol: float, lanes: int, owner: dict | None) -> None:
+    """EM scans over packed rows until no model moves or `max_iter` is reached."""
+    columns = next(iter(active.values())).columns
     for _ in range(max_iter):
         if not active:
             break
         groups: dict = {}
         for key, model in active.items():
-            groups.setdefault(owner[key] if owner else None, {})[key] = model
+            groups.setdefault(str(owner[key]) if owner else None, {})[key] = model
 
         def partial(batches, groups=groups):
             folds = {g: Expectation(models, columns) for g, models in groups.items()}
-            for pdf in batches:
-                parts = pdf.groupby("__g", sort=False) if owner else [(None, pdf)]
-                for g, part in parts:
-                    if g in folds:
-                        folds[g].add(part)
+            for g, lines in unpacked(batches):
+                if g in folds:
+                    folds[g].add(lines[:-1], lines[-1])
             lane = TaskContext.get().partitionId() % lanes
             for fold in folds.values():
                 for key, sums in fold.totals.items():
-                    yield pd.DataFrame({"model": [key], "lane": [lane], "sums": [sums]})
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([lane], pa.int32()),
+                                                      pa.array([sums.tolist()], pa.list_(pa.float64()))], ["model", "lane", "sums"])
 
-        maximise(summed_statistics(rows.mapInPandas(partial, STATISTICS), lanes, len(active)), active, done, tol)
-    done.update(active)
-    return done
+        maximise(summed_statistics(blocks.mapInArrow(partial, STATISTICS), lanes, len(active)), active, done, tol)
 
 
 def positive_definite(cov: np.ndarray, floor: float = VARIANCE_FLOOR) -> np.ndarray:
