@@ -137,3 +137,44 @@ def test_many_rows_merge_into_bounded_vertices(spark):
     graph = graphs.build(df, ["c0", "c1"], most=500)
     assert graph.step > 0 and graph.nodes.count() <= 550
     assert graph.nodes.agg(F.sum("weight")).first()[0] == 20_000
+
+
+def test_blocks_settle_pairs_at_the_radius_and_far_from_the_origin(spark, monkeypatch):
+    """Distances whose rounding matters are taken by differences: a lattice with pairs exactly at the radius, moved far away."""
+    monkeypatch.setattr(graphs, "CELL_ROWS", 10)
+    x = np.array([[i, j, k] for i in range(4) for j in range(4) for k in range(3)], dtype=float) + 1e7
+    x[0] += 1e9
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(100, [None, 1.0, 1.0]), (None, x[1].tolist()), (101, None)], "vertex long, x array<double>")
+    got = {(r["a"], r["b"]): r["d2"] for r in graphs.neighbour_pairs(nodes, "vertex", 3, 1.0).collect()}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(np.triu(d2 <= 1.0, 1))), strict=True)}
+    assert got.keys() == want and set(got.values()) == {1.0}
+
+
+def test_sums_and_links_of_blocks_equal_those_of_all_pairs(spark, crowd, monkeypatch):
+    """The graph stores no edges: kernel sums and components come from blocks that meet."""
+    monkeypatch.setattr(graphs, "CELL_ROWS", 20)
+    x = np.unique(crowd, axis=0)
+    df, names = table(spark, x)
+    nodes = graphs.points(df, names).withColumnRenamed("id", "vertex")
+    blocks = graphs.near_blocks(nodes, "vertex", 3, graphs.radius_of(0.3))
+    assert blocks.count > 5
+    w, _ = dense(x, graphs.GAMMA, 0.3)
+    q = np.random.default_rng(2).normal(size=(len(x), 4))
+    values = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q) if i % 5], "id long, q array<double>")
+    got = {r["id"]: r["pull"] for r in graphs.neighbours.sums(blocks, values, 4, graphs.GAMMA).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(x))], w @ np.where(np.arange(len(x))[:, None] % 5 == 0, 0.0, q), atol=1e-12)
+    links = graphs.neighbours.links(blocks)
+    made = {r["vertex"]: r["component"] for r in graphs.components(nodes, links).collect()}
+    want = np.arange(len(x))
+    while (low := np.minimum(want, np.where(w > 0, want[None], len(x)).min(axis=1))).tolist() != want.tolist():
+        want = low
+    assert [made[i] for i in range(len(x))] == want.tolist()
+
+
+def test_rows_find_their_vertex_by_shuffle(spark, crowd, monkeypatch):
+    monkeypatch.setattr(graphs.lookup_join, "__defaults__", (10, 3))
+    df, names = table(spark, crowd - 1.0)
+    graph = graphs.build(df, names)
+    got = {r["id"]: r["degree"] for r in graphs.row_degrees(df, graph).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(crowd))], dense(crowd, graphs.GAMMA, graphs.FLOOR)[0].sum(1), rtol=1e-9, atol=1e-12)
