@@ -139,6 +139,19 @@ def test_many_rows_merge_into_bounded_vertices(spark):
     assert graph.nodes.agg(F.sum("weight")).first()[0] == 20_000
 
 
+def test_a_graph_keeps_all_distinct_rows(spark):
+    """Beyond 1,500 distinct rows the grid of the embeddings merged those with equal signs; only equal rows are one vertex now."""
+    x = 0.2 * np.abs(np.random.default_rng(9).normal(size=(1_600, 24)))
+    df, names = table(spark, x)
+    graph = graphs.build(df.unionByName(df.filter("id < 3")), names)
+    assert graph.step == 0 and graph.nodes.count() == 1_600
+    got = {r["id"]: r["degree"] for r in graphs.row_degrees(df, graph).collect()}
+    w = dense(x, graphs.GAMMA, graphs.FLOOR)[0]
+    want = w.sum(1) + w[:, :3].sum(1)
+    want[:3] += 1
+    np.testing.assert_allclose([got[i] for i in range(len(x))], want, rtol=1e-9, atol=1e-12)
+
+
 def test_blocks_settle_pairs_at_the_radius_and_far_from_the_origin(spark, monkeypatch):
     """Distances whose rounding matters are taken by differences: a lattice with pairs exactly at the radius, moved far away."""
     monkeypatch.setattr(graphs, "CELL_ROWS", 10)
