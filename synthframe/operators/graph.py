@@ -29,8 +29,8 @@ from synthframe.session import ship_package, written
 
 GAMMA = 5.0
 FLOOR = 1e-3
-#: Vertices of a block (`neighbours`).
-CELL_ROWS = 6_000
+#: Most vertices of a block (`neighbours`): with their numbers about 60 MB in a task.
+CELL_ROWS = 60_000
 #: Fixed value: added to every eigenvalue before drops are compared.
 RIDGE = 1e-5
 #: Vertices of one graph where a caller asks for merged rows: the finest grid with about as few cells.

@@ -1,12 +1,14 @@
 """All neighbours of vectors within a radius: pairs, kernel sums and links, compared block by block.
 
-Vectors are sorted by the grid cells of their first coordinates and packed into blocks.
-Two blocks meet in one task where their bounding boxes are within the radius, so every
-pair of vectors meets exactly once; the task compares tiles by a matrix product and
-settles pairs whose distance is within rounding of the radius by their differences.
-Only results leave a task: the pairs themselves (`pairs`), one sum per vector (`sums`),
-or links that join the same vectors as the pairs do (`links`).  Work grows with the
-pairs of blocks that meet, memory with the size of a block.
+Vectors are sorted by the grid cells of their first coordinates and cut into blocks,
+and these into pieces, the rows that Spark moves.  Two blocks meet in one task where
+their bounding boxes are within the radius, so every pair of vectors meets exactly once;
+the task holds the first block and takes the pieces of the second as they come.  It
+compares tiles by a matrix product and settles pairs whose distance is within rounding
+of the radius by their differences.  Only results leave a task: the pairs themselves
+(`pairs`), one sum per vector (`sums`), or links that join the same vectors as the pairs
+do (`links`).  Work grows with the pairs of pieces that meet; a vector is sent once per
+block that it meets, and the blocks grow with the table until one is as large as a task may hold.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from synthframe.session import ship_package, written
 GRID = 3
 #: Rows of a tile: its distances stay in the processor's cache.
 TILE = 512
+#: Most vectors of a piece.
+PIECE = 2_048
 #: Blocks that smaller tables are cut into, where they have a tile each, so that every core has pairs of blocks to compare.
 LEAST = 12
 #: Most partitions of a scan over pairs of blocks.
@@ -33,14 +37,17 @@ PARTS = 2_048
 ROUNDING = 1e-12
 #: Pairs whose coordinates are held at once to be compared by differences.
 CHECKED = 1 << 14
+#: Pairs that are listed in one order before they are in the other: near enough for the compression of a file to see the same distances twice.
+TURNED = 128
 
 
 @dataclass
 class Blocks:
-    """Packed vectors (block, ids, x), the pairs of blocks that meet, and the place of each id."""
+    """Packed vectors (block, piece, ids, x) and the pieces that the pairs of blocks that meet need."""
 
     rows: DataFrame
-    sides: DataFrame        # (block, part, pair, first, alone): one row per block and pair
+    sides: DataFrame        # (block, piece, part, pair, first, alone): one row per piece and pair of blocks
+    pieces: int             # about so many
     count: int
     parts: int
     dims: int
@@ -48,12 +55,15 @@ class Blocks:
     id_type: str
 
     def places(self) -> DataFrame:
-        """(id, block, slot) of every vector."""
-        return self.rows.select("block", F.posexplode("ids").alias("slot", "id"))
+        """(id, block, piece, slot) of every vector."""
+        return self.rows.select("block", "piece", F.posexplode("ids").alias("slot", "id"))
 
 
 def packed(nodes: DataFrame, vertex: str, dims: int, radius: float, block_rows: int) -> Blocks:
-    """Blocks of about `block_rows` vectors; rows without an id or with a missing or not finite coordinate have no neighbours."""
+    """Blocks of at most about `block_rows` vectors; rows without an id or with a missing or not finite coordinate have no neighbours.
+
+    Coordinates that are single precision numbers are kept as such.
+    """
     ship_package(nodes.sparkSession)
     id_type = nodes.schema[vertex].dataType.simpleString()
     reach = radius * (1 + 1e-9) + 1e-12
@@ -66,64 +76,90 @@ def packed(nodes: DataFrame, vertex: str, dims: int, radius: float, block_rows:
     rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
 
     def pack(batches):
-        held = [b for b in batches if len(b)]
-        if held:
-            x = np.concatenate([b["x"].flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(-1, dims)
-            ids = pa.concat_arrays([b["id"] for b in held])
+        held, waiting, piece = [], 0, 0
+
+        def made(table):
+            x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            with np.errstate(over="ignore"):
+                single = x.astype(np.float32)
+            body = single if (single == x).all() else x
+            ids = table["id"].combine_chunks()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([held[0]["block"][:1], lists, pa.array([x.tobytes()], pa.binary()),
-                                              pa.array([x.min(axis=0).tolist()]), pa.array([x.max(axis=0).tolist()])], ["block", "ids", "x", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([table["block"].combine_chunks()[:1], pa.array([piece], pa.int32()), lists, pa.array([body.tobytes()], pa.binary()),
+                                               pa.array([x.min(axis=0).tolist()]), pa.array([x.max(axis=0).tolist()])], ["block", "piece", "ids", "x", "lo", "hi"])
 
-    made = written(rows.mapInArrow(pack, f"block int, ids array<{id_type}>, x binary, lo array<double>, hi array<double>"), "neighbour-blocks")
-    a = made.select(F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i"))
-    b = made.select(F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j"))
+        for batch in batches:
+            held.append(batch)
+            waiting += len(batch)
+            if waiting >= PIECE:
+                table = pa.Table.from_batches(held)
+                for _ in range(waiting // PIECE):
+                    yield made(table.slice(0, PIECE))
+                    table, piece = table.slice(PIECE), piece + 1
+                held, waiting = table.to_batches(), len(table)
+        if waiting:
+            yield made(pa.Table.from_batches(held))
+
+    made = written(rows.mapInArrow(pack, f"block int, piece int, ids array<{id_type}>, x binary, lo array<double>, hi array<double>"), "neighbour-blocks")
+    boxes = made.groupBy("block").agg(*[F.array(*[f(F.col(c)[d]) for d in range(dims)]).alias(f"other_{c}") for c, f in (("lo", F.min), ("hi", F.max))])
     apart = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda d: F.greatest(F.get("lj", d) - F.get("hi_i", d), F.get("li", d) - F.get("hi_j", d), F.lit(0.0)))
+                        lambda d: F.greatest(F.get("other_lo", d) - F.get("hi", d), F.get("lo", d) - F.get("other_hi", d), F.lit(0.0)))
     gap = F.aggregate(apart, F.lit(0.0), lambda total, g: total + g * g)
     parts = min(count * (count + 1) // 2, PARTS)
-    pair = (F.col("j").cast("long") * (F.col("j") + 1) / 2).cast("long") + F.col("i")
-    met = a.join(b, F.col("i") <= F.col("j")).filter(gap <= reach * reach).select("i", "j", pair.alias("pair"))
-    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(True).alias("first"))))
-    ends = ends.otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(True).alias("first")), F.struct(F.col("j").alias("block"), F.lit(False).alias("first"))))
-    sides = met.select("pair", (F.col("i") == F.col("j")).alias("alone"), F.explode(ends).alias("e"))
-    sides = written(sides.select("e.block", F.pmod("pair", F.lit(parts)).cast("int").alias("part"), "pair", "e.first", "alone").coalesce(1), "neighbour-sides")
-    return Blocks(made.select("block", "ids", "x"), sides, count, parts, dims, radius, id_type)
+    low, high = F.least("block", "other"), F.greatest("block", "other").cast("long")
+    met = made.join(F.broadcast(boxes.withColumnRenamed("block", "other"))).filter(gap <= reach * reach)
+    pair = (high * (high + 1) / 2).cast("long") + low
+    sides = met.select("block", "piece", F.pmod(pair, F.lit(parts)).cast("int").alias("part"), pair.alias("pair"),
+                       (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("alone"))
+    sides = written(sides.coalesce(1), "neighbour-sides")
+    return Blocks(made.select("block", "piece", "ids", "x"), sides, max(1, math.ceil(total / PIECE)), count, parts, dims, radius, id_type)
 
 
 class _Side:
-    """One block in a task: its number, ids, coordinates and, where given, the numbers `q` of its vectors."""
+    """One piece in a task: its place, ids, coordinates and, where given, the numbers `q` of its vectors and what they `pull`."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, dims: int, size: int):
-        self.block, self.ids = batch["block"][i].as_py(), batch["ids"][i].values
-        self.x = np.frombuffer(batch["x"][i].as_buffer(), dtype=float).reshape(-1, dims)
-        self.q = None
+        self.place, self.ids = (batch["block"][i].as_py(), batch["piece"][i].as_py()), batch["ids"][i].values
+        body = batch["x"][i].as_buffer()
+        self.x = np.frombuffer(body, dtype=float if len(body) == 8 * dims * len(self.ids) else np.float32).reshape(-1, dims).astype(float)
         if size:
             q = batch["q"][i]
-            self.q = np.frombuffer(q.as_buffer(), dtype=float).reshape(-1, size) if q.is_valid else np.zeros((len(self.x), size))
+            self.q = np.frombuffer(q.as_buffer(), dtype=float).reshape(-1, size).copy() if q.is_valid else np.zeros((len(self.x), size))
+            self.pull = np.zeros_like(self.q)
 
 
-def _scan(blocks: Blocks, work: Callable, schema: str, q: DataFrame | None = None, size: int = 0) -> DataFrame:
-    """What `work` yields for every two blocks that meet; `q` gives each block (block, q) numbers."""
+def _scan(blocks: Blocks, work: Callable, end: Callable, schema: str, q: DataFrame | None = None, size: int = 0) -> DataFrame:
+    """What `work(held, piece, memory)` yields for the pieces that meet, and `end(held, memory)` after each pair of blocks.
+
+    `held` are the pieces of the first block; where a block meets itself, those up to
+    the piece, which is the last of them.  `memory` is a dictionary for each pair of
+    blocks; `q` gives each piece (block, piece, q) numbers.
+    """
     dims = blocks.dims
 
     def run(batches):
-        left = None
+        held, memory, now = [], {}, None
         for batch in batches:
-            for i, alone in enumerate(batch["alone"].to_pylist()):
+            for i, (pair, first, alone) in enumerate(zip(batch["pair"].to_pylist(), batch["first"].to_pylist(), batch["alone"].to_pylist(), strict=True)):
+                if pair != now:
+                    yield from end(held, memory)
+                    held, memory, now = [], {}, pair
                 side = _Side(batch, i, dims, size)
-                if alone:
-                    yield from work(side, side)
-                elif left is None:
-                    left = side
-                else:
-                    yield from work(left, side)
-                    left = None
-
-    rows = blocks.rows if q is None else blocks.rows.join(q, "block", "left")
-    placed = rows.join(F.broadcast(blocks.sides), "block").repartitionById(blocks.parts, "part").sortWithinPartitions("pair", F.desc("first"))
+                if first:
+                    held.append(side)
+                if held and (alone or not first):
+                    yield from work(held, side, memory)
+        yield from end(held, memory)
+
+    rows = blocks.rows if q is None else blocks.rows.join(q, ["block", "piece"], "left")
+    placed = rows.join(F.broadcast(blocks.sides), ["block", "piece"]).repartitionById(blocks.parts, "part").sortWithinPartitions("pair", F.desc("first"), "piece")
     return placed.mapInArrow(run, schema)
 
 
+def _nothing(held, memory):
+    return ()
+
+
 def _tiles(left: _Side, right: _Side, radius: float):
     """(i, j, d2, near, square): slices of both blocks, squared distances, which are within the radius; a square tile holds each pair twice."""
     bound = radius * radius
@@ -165,26 +201,33 @@ def _tiles(left: _Side, right: _Side, radius: float):
                 yield rows, cols, d2, near, square
 
 
+def _turned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """TURNED entries of `a`, as many of `b`, the next of `a`, and so on."""
+    whole = len(a) // TURNED * TURNED
+    return np.concatenate([np.stack([a[:whole].reshape(-1, TURNED), b[:whole].reshape(-1, TURNED)], axis=1).ravel(), a[whole:], b[whole:]])
+
+
 def pairs(blocks: Blocks, both: bool = False) -> DataFrame:
     """(a, b, d2) of all two ids at most the radius apart: with a < b, or with `both` in both orders."""
     radius = blocks.radius
 
-    def work(left, right):
-        ids = left.ids.to_numpy(zero_copy_only=False), right.ids.to_numpy(zero_copy_only=False)
-        for rows, cols, d2, near, square in _tiles(left, right, radius):
-            i, j = np.nonzero(np.triu(near) if square else near)
-            a, b, gaps = ids[0][rows][i], ids[1][cols][j], d2[i, j]
-            differ = a != b
-            if not differ.all():
-                a, b, gaps = a[differ], b[differ], gaps[differ]
-            if both:
-                a, b, gaps = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([gaps, gaps])
-            else:
-                swap = a > b
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, left.ids.type), pa.array(b, left.ids.type), pa.array(gaps)], ["a", "b", "d2"])
+    def work(held, right, _):
+        for left in held:
+            ids = left.ids.to_numpy(zero_copy_only=False), right.ids.to_numpy(zero_copy_only=False)
+            for rows, cols, d2, near, square in _tiles(left, right, radius):
+                i, j = np.nonzero(np.triu(near) if square else near)
+                a, b, gaps = ids[0][rows][i], ids[1][cols][j], d2[i, j]
+                differ = a != b
+                if not differ.all():
+                    a, b, gaps = a[differ], b[differ], gaps[differ]
+                if both:
+                    a, b, gaps = _turned(a, b), _turned(b, a), _turned(gaps, gaps)
+                else:
+                    swap = a > b
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, left.ids.type), pa.array(b, left.ids.type), pa.array(gaps)], ["a", "b", "d2"])
 
-    return _scan(blocks, work, f"a {blocks.id_type}, b {blocks.id_type}, d2 double")
+    return _scan(blocks, work, _nothing, f"a {blocks.id_type}, b {blocks.id_type}, d2 double")
 
 
 def sums(blocks: Blocks, values: DataFrame, size: int, gamma: float) -> DataFrame:
@@ -192,45 +235,59 @@ def sums(blocks: Blocks, values: DataFrame, size: int, gamma: float) -> DataFram
     radius = blocks.radius
 
     def pack(batches):
-        slots, q, block, rows = [], [], None, 0
+        bodies = {}
         for batch in batches:
-            if len(batch):
-                block, rows = batch["block"][0], batch["rows"][0].as_py()
-                slots.append(batch["slot"].to_numpy())
-                q.append(batch["q"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
-        if slots:
-            body = np.zeros((rows, size))
-            body[np.concatenate(slots)] = np.concatenate(q)
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["block", "q"])
-
-    def work(left, right):
-        mine = np.zeros_like(left.q)
-        other = mine if left is right else np.zeros_like(right.q)
-        for rows, cols, d2, near, square in _tiles(left, right, radius):
-            d2 *= -gamma
-            np.exp(d2, out=d2)
-            d2 *= near
-            mine[rows] += d2 @ right.q[cols]
-            if not square:
-                other[cols] += d2.T @ left.q[rows]
-        for side, total in ((left, mine),) if left is right else ((left, mine), (right, other)):
+            q = batch["q"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            slots, rows = batch["slot"].to_numpy(), batch["rows"].to_numpy()
+            places, at = np.unique(np.stack([batch["block"].to_numpy(), batch["piece"].to_numpy()], axis=1), axis=0, return_inverse=True)
+            for k, place in enumerate(map(tuple, places.tolist())):
+                of = at.ravel() == k
+                bodies.setdefault(place, np.zeros((int(rows[of][0]), size)))[slots[of]] = q[of]
+        for (block, piece), body in bodies.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([piece], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["block", "piece", "q"])
+
+    def work(held, right, _):
+        for left in held:
+            for rows, cols, d2, near, square in _tiles(left, right, radius):
+                d2 *= -gamma
+                np.exp(d2, out=d2)
+                d2 *= near
+                left.pull[rows] += d2 @ right.q[cols]
+                if not square:
+                    right.pull[cols] += d2.T @ left.q[rows]
+        if right is not held[-1]:
+            yield from end([right], _)
+
+    def end(held, _):
+        for side in held:
             lists = pa.ListArray.from_arrays(pa.array([0, len(side.ids)], pa.int32()), side.ids)
-            yield pa.RecordBatch.from_arrays([pa.array([side.block], pa.int32()), lists, pa.array([total.tobytes()], pa.binary())], ["block", "ids", "total"])
+            block, piece = side.place
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([piece], pa.int32()), lists, pa.array([side.pull.tobytes()], pa.binary())],
+                                             ["block", "piece", "ids", "total"])
 
     def add(batches):
-        total, ids = None, None
+        """Rows come piece by piece."""
+        def done():
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * size, pa.int32()), pa.array(total))
+            return pa.RecordBatch.from_arrays([ids, lists], ["id", "pull"])
+
+        total, ids, now = None, None, None
         for batch in batches:
-            for i in range(len(batch)):
+            for i, place in enumerate(zip(batch["block"].to_pylist(), batch["piece"].to_pylist(), strict=True)):
                 part = np.frombuffer(batch["total"][i].as_buffer(), dtype=float)
-                ids, total = batch["ids"][i].values, part.copy() if total is None else total + part
-        if total is not None:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * size, pa.int32()), pa.array(total))
-            yield pa.RecordBatch.from_arrays([ids, lists], ["id", "pull"])
+                if place == now:
+                    total += part
+                    continue
+                if now is not None:
+                    yield done()
+                total, ids, now = part.copy(), batch["ids"][i].values, place
+        if now is not None:
+            yield done()
 
-    sizes = blocks.rows.select("block", F.size("ids").alias("rows"), F.posexplode("ids").alias("slot", "id"))
-    placed = sizes.join(values.select("id", "q"), "id").select("block", "rows", "slot", "q").repartitionById(blocks.count, "block")
-    met = _scan(blocks, work, f"block int, ids array<{blocks.id_type}>, total binary", placed.mapInArrow(pack, "block int, q binary"), size)
-    return met.repartitionById(blocks.count, "block").mapInArrow(add, f"id {blocks.id_type}, pull array<double>")
+    sizes = blocks.rows.select("block", "piece", F.size("ids").alias("rows"), F.posexplode("ids").alias("slot", "id"))
+    placed = sizes.join(values.select("id", "q"), "id").select("block", "piece", "rows", "slot", "q").repartition(blocks.pieces, "block", "piece")
+    met = _scan(blocks, work, end, f"block int, piece int, ids array<{blocks.id_type}>, total binary", placed.mapInArrow(pack, "block int, piece int, q binary"), size)
+    return met.repartition(blocks.pieces, "block", "piece").sortWithinPartitions("block", "piece").mapInArrow(add, f"id {blocks.id_type}, pull array<double>")
 
 
 def _merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -250,18 +307,32 @@ def links(blocks: Blocks) -> DataFrame:
     """(src, dst) in both directions: of every two blocks a star for each group that their pairs join, so components are those of all pairs."""
     radius = blocks.radius
 
-    def work(left, right):
-        offset = 0 if left is right else len(left.x)
-        ids = left.ids if left is right else pa.concat_arrays([left.ids, right.ids])
-        labels = np.arange(len(ids))
-        for rows, cols, _, near, _ in _tiles(left, right, radius):
-            at, to = labels[rows], labels[offset + cols.start:offset + cols.stop]
-            if at.min() == at.max() == to.min() == to.max():
-                continue
-            i, j = np.nonzero(near & (at[:, None] != to[None]))
-            labels = _merged(labels, at[i], to[j])
-        far = np.nonzero(labels != np.arange(len(ids)))[0]
+    def stars(ids, labels, start=0):
+        """Links of the vectors from `start` on to the first of their group."""
+        far = start + np.nonzero(labels[start:] != np.arange(start, len(labels)))[0]
         tips, hubs = ids.take(pa.array(far)), ids.take(pa.array(labels[far]))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([tips, hubs]), pa.concat_arrays([hubs, tips])], ["src", "dst"])
-
-    return _scan(blocks, work, f"src {blocks.id_type}, dst {blocks.id_type}")
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([tips, hubs]), pa.concat_arrays([hubs, tips])], ["src", "dst"])
+
+    def work(held, right, memory):
+        before = held[:-1] if right is held[-1] else held
+        starts = np.cumsum([0, *[len(h.x) for h in before]])
+        labels = memory.get("labels", np.zeros(0, int))
+        labels = np.concatenate([labels, np.arange(len(labels), starts[-1] + len(right.x))])
+        for left, start in [*zip(before, starts, strict=False), *([(right, starts[-1])] if right is held[-1] else [])]:
+            for rows, cols, _, near, _ in _tiles(left, right, radius):
+                at, to = labels[start + rows.start:start + rows.stop], labels[starts[-1] + cols.start:starts[-1] + cols.stop]
+                if at.min() == at.max() == to.min() == to.max():
+                    continue
+                i, j = np.nonzero(near & (at[:, None] != to[None]))
+                labels = _merged(labels, at[i], to[j])
+        if right is held[-1]:
+            memory["labels"] = labels
+        else:
+            memory["labels"] = labels[:starts[-1]]
+            yield stars(pa.concat_arrays([h.ids for h in [*held, right]]), labels, starts[-1])
+
+    def end(held, memory):
+        if "labels" in memory:
+            yield stars(pa.concat_arrays([h.ids for h in held]), memory["labels"])
+
+    return _scan(blocks, work, end, f"src {blocks.id_type}, dst {blocks.id_type}")

@@ -191,3 +191,46 @@ def test_rows_find_their_vertex_by_shuffle(spark, crowd, monkeypatch):
     graph = graphs.build(df, names)
     got = {r["id"]: r["degree"] for r in graphs.row_degrees(df, graph).collect()}
     np.testing.assert_allclose([got[i] for i in range(len(crowd))], dense(crowd, graphs.GAMMA, graphs.FLOOR)[0].sum(1), rtol=1e-9, atol=1e-12)
+
+
+def test_blocks_grow_with_the_table_and_hold_single_precision(spark):
+    """80,000 vectors were 14 blocks and are 12, so each is sent 12 times at most; coordinates of single precision take four bytes."""
+    nodes = spark.range(80_000).select(F.col("id").alias("vertex"), F.array(*[F.rand(s).cast("float").cast("double") for s in range(4)]).alias("x"))
+    blocks = graphs.near_blocks(nodes, "vertex", 4, 0.5)
+    sent = blocks.sides.groupBy("block", "piece").count().agg(F.max("count")).first()[0]
+    assert blocks.count == 12 and sent <= 12
+    assert blocks.rows.agg(F.sum(F.length("x")), F.sum(F.size("ids")), F.max(F.size("ids"))).first()[:] == (80_000 * 16, 80_000, graphs.neighbours.PIECE)
+
+
+def test_pieces_of_blocks_meet_once(spark, crowd, monkeypatch):
+    """Blocks of several pieces: edges, kernel sums and components are those of all pairs, whatever the precision of the coordinates."""
+    monkeypatch.setattr(graphs, "CELL_ROWS", 50)
+    monkeypatch.setattr(graphs.neighbours, "PIECE", 8)
+    for x in (np.unique(crowd, axis=0), np.unique(crowd.astype(np.float32).astype(float), axis=0)):
+        df, names = table(spark, x)
+        nodes = graphs.points(df, names).withColumnRenamed("id", "vertex")
+        blocks = graphs.near_blocks(nodes, "vertex", 3, graphs.radius_of(0.3))
+        assert blocks.rows.groupBy("block").count().filter("count > 2").count() > 2
+        w, _ = dense(x, graphs.GAMMA, 0.3)
+        edges = [(r["src"], r["dst"], r["weight"]) for r in graphs.neighbour_edges(nodes, "vertex", 3, 0.3).collect()]
+        assert len(edges) == np.count_nonzero(w) and all(abs(w[a, b] - v) < 1e-12 for a, b, v in edges)
+        q = np.random.default_rng(5).normal(size=(len(x), 2))
+        values = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "id long, q array<double>")
+        pull = {r["id"]: r["pull"] for r in graphs.neighbours.sums(blocks, values, 2, graphs.GAMMA).collect()}
+        assert len(pull) == len(x)
+        np.testing.assert_allclose([pull[i] for i in range(len(x))], w @ q, atol=1e-12)
+        made = {r["vertex"]: r["component"] for r in graphs.components(nodes, graphs.neighbours.links(blocks)).collect()}
+        want = np.arange(len(x))
+        while (low := np.minimum(want, np.where(w > 0, want[None], len(x)).min(axis=1))).tolist() != want.tolist():
+            want = low
+        assert [made[i] for i in range(len(x))] == want.tolist()
+
+
+def test_edges_list_both_orders_near_each_other(spark, crowd):
+    """Equal distances stand within a few KB, where the compression of a file finds them."""
+    x = np.random.default_rng(3).normal(size=(400, 2))
+    df, names = table(spark, x)
+    nodes = graphs.points(df, names).withColumnRenamed("id", "vertex")
+    rows = [(r["src"], r["dst"]) for r in graphs.neighbour_edges(nodes, "vertex", 2).collect()]
+    place = {e: i for i, e in enumerate(rows)}
+    assert len(rows) > 10_000 and max(abs(i - place[b, a]) for (a, b), i in place.items()) < 256
