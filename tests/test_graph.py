@@ -1,11 +1,13 @@
 """Similarity graphs, their Laplacian spectrum and spectral clustering against dense numpy versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from synthframe.operators import graph as graphs
 from synthframe.operators import spectral
+from synthframe.session import small_batches
 
 DATA = "/root/testdata/sf0.01"
 
@@ -234,3 +236,30 @@ def test_edges_list_both_orders_near_each_other(spark, crowd):
     rows = [(r["src"], r["dst"]) for r in graphs.neighbour_edges(nodes, "vertex", 2).collect()]
     place = {e: i for i, e in enumerate(rows)}
     assert len(rows) > 10_000 and max(abs(i - place[b, a]) for (a, b), i in place.items()) < 256
+
+
+def test_wide_rows_reach_python_in_small_batches(spark):
+    """64 MB batches of 4 KB rows were most of an executor's memory outside its heap; the session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(20_000, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: i + F.col("id") * 1.0).alias("x"))
+
+    def largest():
+        return wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+
+    with small_batches(spark):
+        assert spark.conf.get(key) != before and largest() < 6e6
+    assert spark.conf.get(key) == before and largest() > 3e7
+
+
+def test_solver_and_build_run_in_small_batches(spark, monkeypatch):
+    """The setting holds in each job of the graph that sends vectors or wide rows, and is gone afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", set()
+    before = spark.conf.get(key)
+    sums, gram = graphs.neighbours.sums, graphs._gram
+    monkeypatch.setattr(graphs.neighbours, "sums", lambda *a: (seen.add(("sums", spark.conf.get(key))), sums(*a))[1])
+    monkeypatch.setattr(graphs, "_gram", lambda *a: (seen.add(("gram", spark.conf.get(key))), gram(*a))[1])
+    df, names = table(spark, np.random.default_rng(2).normal(size=(60, 2)))
+    graph = graphs.build(df, names)
+    found = graphs.smallest_eigenpairs(graph, 2, max_steps=2, whole=0)
+    assert seen == {("sums", "4m"), ("gram", "4m")} and spark.conf.get(key) == before and found.vectors.count() > 0
