@@ -1,5 +1,7 @@
 """Similarity graphs, their Laplacian spectrum and spectral clustering against dense numpy versions."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -238,6 +240,34 @@ def test_edges_list_both_orders_near_each_other(spark, crowd):
     assert len(rows) > 10_000 and max(abs(i - place[b, a]) for (a, b), i in place.items()) < 256
 
 
+def test_eigen_gap_looks_beyond_32_eigenvalues(spark):
+    """A chain of 40 points and 20 points close together: the drop stands above 41 eigenvalues, whichever way the graph is solved."""
+    near = math.sqrt(-math.log(0.05) / graphs.GAMMA)
+    x = np.array([[i * near] for i in range(40)] + [[100 + 1e-3 * i] for i in range(20)])
+    df, names = table(spark, x)
+    graph = graphs.build(df, names)
+    want = dense_k(dense(x, graphs.GAMMA, graphs.FLOOR)[1])
+    assert graphs.eigen_gap(graph) == graphs.eigen_gap(graph, whole=0) == (want, True) and want > 2
+
+
+def test_degrees_show_where_no_larger_drop_can_be(spark, crowd):
+    """What is called impossible is so in the dense spectrum, and a spectrum without gaps is seen as such."""
+    rng = np.random.default_rng(8)
+    for x, sure in ((np.unique(crowd, axis=0), False), (rng.normal(size=(700, 2)) * 0.5, True)):
+        df, names = table(spark, x)
+        graph = graphs.build(df, names)
+        values = np.linalg.eigvalsh(dense(x, graphs.GAMMA, graphs.FLOOR)[1])
+        seen = []
+        for known in values[[len(x) // 3, len(x) // 2, 2 * len(x) // 3]]:
+            above = values[values >= known] + graphs.RIDGE
+            largest = (1 - above[:-1] / above[1:]).max()
+            for best in (0.2, 0.5, 0.9):
+                said = graphs.no_larger_drop(graph, float(known), best, 2 * float(values[-1]))
+                assert not said or largest < best
+                seen.append(said)
+        assert any(seen) or not sure
+
+
 def test_wide_rows_reach_python_in_small_batches(spark):
     """64 MB batches of 4 KB rows were most of an executor's memory outside its heap; the session's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
